@@ -16,8 +16,6 @@ import numpy as np
 
 #: Words whose ids a worker keeps; beyond it the store starts afresh.
 KEEP_WORDS = 300_000
-#: Characters of texts whose new words are learned together.
-BLOCK_CHARS = 4_000_000
 
 PLAIN = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
@@ -30,6 +28,18 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
 
 
+class Store(dict):
+    """Ids by key, found on first use."""
+
+    def __init__(self, find):
+        super().__init__()
+        self.find = find
+
+    def __missing__(self, key: str) -> bytes:
+        got = self[key] = self.find(key)
+        return got
+
+
 class WordCodec:
     """encode() gives the ids that the tokenizers library gives for each whole text with
     add_special_tokens=False. folds: the vocabulary drops white space and case."""
@@ -40,11 +50,11 @@ class WordCodec:
         self.tokenizer = Tokenizer.from_file(vocabulary)
         self.folds = folds
         self.letters = byte_letters()
+        self.space = "" if folds else self.letters[0x20]
         self.merges = self.tokenizer.model.tokenize
-        self.known: dict[str, bytes] = {}
-        self.cores: dict[str, bytes] = {}
-        self.first: dict[str, bytes] = {}
-        self.parts = {x: self.whole(x) for x in ("", "\n")}
+        self.known = Store(self.word)  # words after a space, or after the break they begin with
+        self.bare = Store(self.bare_word)  # words with nothing before them
+        self.whole_parts = Store(self.whole)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
 
     def whole(self, text: str) -> bytes:
@@ -57,55 +67,43 @@ class WordCodec:
             return None
         return out
 
-    def core(self, piece: str) -> bytes:
-        spelt = piece if piece.isalpha() and piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-        return array("I", [t.id for t in self.merges(spelt)]).tobytes()
+    def letters_only(self, before: str, piece: str) -> bytes:
+        if not piece.isascii():
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        return array("I", [t.id for t in self.merges(before + piece)]).tobytes()
 
     def word(self, w: str) -> bytes:
-        """Ids of a word after a space, or after the line break that it begins with."""
+        if w.isascii() and w.isalpha():
+            if self.folds and (low := w.lower()) != w:
+                return self.known[low]
+            return self.letters_only(self.space, w)
         if not (m := PLAIN.fullmatch(w)):
             return self.whole(w if self.folds or w[0] == "\n" else " " + w)
-        piece = m[2].lower() if self.folds else m[2] if m[1] else " " + m[2]
-        if (got := self.cores.get(piece)) is None:
-            got = self.cores[piece] = self.core(piece)
-        if m[3] not in self.parts:
-            self.parts[m[3]] = self.whole(m[3])
-        return self.parts[m[1]] + got + self.parts[m[3]]
+        if m[1]:
+            return self.whole_parts["\n"] + self.bare[m[2]] + (self.whole_parts[m[3]] if m[3] else b"")
+        if m[3]:
+            return self.known[m[2]] + self.whole_parts[m[3]]
+        if self.folds and (low := w.lower()) != w:
+            return self.known[low]
+        return self.letters_only(self.space, w)
+
+    def bare_word(self, w: str) -> bytes:
+        return self.letters_only("", w) if PLAIN.fullmatch(w) and w.isalpha() and not self.folds else self.whole(w)
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text; null and empty texts have none."""
-        out: list[bytes] = []
-        block: list[list[str] | None] = []
-        done = size = 0
-        for i, text in enumerate(texts):
-            block.append(self.words(text) if text else None)
-            size += len(text or "")
-            if size >= BLOCK_CHARS or i + 1 == len(texts):
-                out += self._block(texts[done : i + 1], block)
-                done, size, block = i + 1, 0, []
-        return out
-
-    def _block(self, texts: list[str | None], block: list[list[str] | None]) -> list[bytes]:
-        for store in (self.known, self.cores, self.first, self.parts):
-            if len(store) > KEEP_WORDS:
-                store.clear()
-                self.parts.setdefault("", b"")
-                self.parts.setdefault("\n", self.whole("\n"))
-        known, word = self.known, self.word
-        skip = 0 if self.folds else 1
-        for words in block:
-            for w in set(words[skip:] if words else ()).difference(known):
-                known[w] = word(w)
         out = []
-        for text, words in zip(texts, block, strict=True):
+        for text in texts:
+            for store in (self.known, self.bare, self.whole_parts):
+                if len(store) > KEEP_WORDS:
+                    store.clear()
+            words = self.words(text) if text else None
             if words is None:
                 out.append(self.whole(text) if text else b"")
             elif self.folds:
-                out.append(b"".join(map(known.__getitem__, words)))
+                out.append(b"".join(map(self.known.__getitem__, words)))
             else:
-                if words[0] not in self.first:
-                    self.first[words[0]] = self.whole(words[0])
-                out.append(self.first[words[0]] + b"".join(map(known.__getitem__, words[1:])))
+                out.append(self.bare[words[0]] + b"".join(map(self.known.__getitem__, words[1:])))
         return out
 
 
