@@ -7,19 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm.decontaminate import OP1_SQL, op1_decontamination
+from tidewater.llm.neardups import OP3_SQL, op3_near_duplicates
 from tidewater.llm.neighbours import op6_nearest_neighbours
 from tidewater.llm.packing import op4_best_fit_packing
+from tidewater.llm.repeats import op10_repeated_strings
 from tidewater.llm.secrets import op7_secret_scan
 from tidewater.llm.tokenfiles import op5_token_files
 from tidewater.llm.warc import OP8_SQL, op8_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op3_near_duplicates": op3_near_duplicates,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_token_files": op5_token_files,
     "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_secret_scan": op7_secret_scan,
     "op8_warc": op8_warc,
+    "op10_repeated_strings": op10_repeated_strings,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op8_warc": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op3_near_duplicates": OP3_SQL, "op8_warc": OP8_SQL}
