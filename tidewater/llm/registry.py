@@ -10,6 +10,7 @@ from tidewater.llm.decontaminate import OP1_SQL, op1_decontamination
 from tidewater.llm.neardups import OP3_SQL, op3_near_duplicates
 from tidewater.llm.neighbours import op6_nearest_neighbours
 from tidewater.llm.packing import op4_best_fit_packing
+from tidewater.llm.pagetext import op9_main_text
 from tidewater.llm.repeats import op10_repeated_strings
 from tidewater.llm.secrets import op7_secret_scan
 from tidewater.llm.tokenfiles import op5_token_files
@@ -23,6 +24,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_nearest_neighbours": op6_nearest_neighbours,
     "op7_secret_scan": op7_secret_scan,
     "op8_warc": op8_warc,
+    "op9_main_text": op9_main_text,
     "op10_repeated_strings": op10_repeated_strings,
 }
 
