@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm.decontaminate import OP1_SQL, op1_decontamination
+from tidewater.llm.langid import op2_language_id
 from tidewater.llm.neardups import OP3_SQL, op3_near_duplicates
 from tidewater.llm.neighbours import op6_nearest_neighbours
 from tidewater.llm.packing import op4_best_fit_packing
@@ -18,6 +19,7 @@ from tidewater.llm.warc import OP8_SQL, op8_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_language_id": op2_language_id,
     "op3_near_duplicates": op3_near_duplicates,
     "op4_best_fit_packing": op4_best_fit_packing,
     "op5_token_files": op5_token_files,
