@@ -51,6 +51,24 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows and bytes of an Arrow batch: texts can be long, and a batch is held several times over.
+BATCH_ROWS, BATCH_BYTES = 1_000, "16m"
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """Sets batches of at most BATCH_ROWS rows and about BATCH_BYTES for this session."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
+        conf.set(key, str(BATCH_ROWS))
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """mapInArrow in small batches."""
+    return small_batches(df).mapInArrow(run, schema)
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:
     """Maps each Arrow batch to a dict of columns; make() builds the function once a task."""
 
@@ -60,7 +78,7 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]
             if batch.num_rows:
                 yield record_batch(fn(batch), schema)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 _SCHEMAS: dict[str, pa.Schema] = {}

@@ -28,7 +28,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import arrow_map, record_batch, table, written
+from tidewater.llm.common import arrow_map, map_batches, record_batch, table, written
 
 #: Words of a segment, about: it ends with the document that reaches them.
 SEGMENT_WORDS = 1 << 20
@@ -103,7 +103,7 @@ def build(docs: DataFrame, path: str | None = None) -> DataFrame:
         if ids:
             yield flush()
 
-    return written(docs.select("doc_id", "text").mapInArrow(run, INDEX), path)
+    return written(map_batches(docs.select("doc_id", "text"), run, INDEX), path)
 
 
 class Segment:

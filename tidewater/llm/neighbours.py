@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import arrow_map, record_batch, table, written
+from tidewater.llm.common import arrow_map, map_batches, record_batch, table, written
 
 TABLES, VOTES, NEAREST = 24, 3, 20
 #: Share of a table's buckets that a query probes: for unit vectors, and for evened ones,
@@ -206,7 +206,7 @@ def search(index: Index, queries: DataFrame, k: int = NEAREST, share: float | No
             if len(best[0]):
                 yield record_batch({"query_id": asked.ids[best[0]], "vec_id": best[1], "score": best[2]}, FOUND)
 
-        return index.rows.mapInArrow(run, FOUND)
+        return map_batches(index.rows, run, FOUND)
 
     ids, vectors = [], []
     for row in usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).toLocalIterator():

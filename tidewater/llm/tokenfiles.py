@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import arrow_map, record_batch, table, written
+from tidewater.llm.common import arrow_map, map_batches, record_batch, table, written
 from tidewater.llm.packing import vocabulary_path
 from tidewater.llm.wordcodec import codec
 
@@ -147,7 +147,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = 2, path: str | None =
         if held:
             yield flush()
 
-    return written(rows.select("part", "doc_id", "wide", "ids").mapInArrow(blocks, FILES), path)
+    return written(map_batches(rows.select("part", "doc_id", "wide", "ids"), blocks, FILES), path)
 
 
 def _part(known, edges: list[float]):

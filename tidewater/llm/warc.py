@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import arrow_map, record_batch, shared_dir, table, written
+from tidewater.llm.common import arrow_map, map_batches, record_batch, shared_dir, table, written
 
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -98,7 +98,7 @@ def write(pages: DataFrame, folder: str | None = None, least_bytes: int = LEAST_
             yield record_batch({"path": [f"{folder}/{path}"], "size": [size], "records": [n]}, MANIFEST)
 
     rows = with_responses(pages, least_bytes).select("page_id", "url", "payload", "sha1", "refers_to")
-    return written(rows.mapInArrow(run, MANIFEST))
+    return written(map_batches(rows, run, MANIFEST))
 
 
 class Range:
@@ -199,7 +199,7 @@ def read(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
                     if rows:
                         yield record_batch({n: [r[n] for r in rows] for n in names}, RECORDS)
 
-    return splits.mapInArrow(run, RECORDS)
+    return map_batches(splits, run, RECORDS)
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
