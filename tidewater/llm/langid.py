@@ -12,13 +12,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import arrow_map, table
+from tidewater.llm.common import arrow_map, small_batches, table
 from tidewater.llm.packing import vocabulary_path
 
 #: Labelled documents that each language learns from, about; and the words, those with the
@@ -289,6 +291,21 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text"), make, "doc_id long, lang_pred string, score double")
 
 
+def with_language(docs: DataFrame, model: Model) -> DataFrame:
+    """The documents with lang_pred and lang_score beside their own columns."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    @F.pandas_udf("lang_pred string, lang_score double")
+    def found(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        scorer = held.value.scorer()
+        for part in texts:
+            labels, scores = scorer.texts([t if isinstance(t, str) else None for t in part])
+            yield pd.DataFrame({"lang_pred": labels, "lang_score": scores})
+
+    own = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
+    return small_batches(docs).select(*own, found("text").alias("_found")).select(*own, "_found.*")
+
+
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document; repeated rows each have one, an empty table has none. A null
     doc_id isn't held out."""
