@@ -1,4 +1,264 @@
 """Queries by name, and the DuckDB SQL that each is held against."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidewater.functions import exprs as E
+from tidewater.operators import relational as R
+from tidewater.plans import aml
+from tidewater.sources import fixture
+from tidewater.streaming import runner
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE_SQL: dict[str, str] = {}
+
+A, B, G = aml.DEFAULT.period_a, aml.DEFAULT.period_b, aml.DEFAULT.graph_window
+RATES = ", ".join(f"(DATE '{d}', '{iso}', {r})" for d, eur in fixture.EUR_RATES.items() for iso, r in (("EUR", eur), ("USD", 1.0)))
+ISO = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in E.CURRENCY_ISO.items())
+KEY = "coalesce(nullif(regexp_replace({0}, '^0+', ''), ''), '0')"
+IN_A, IN_B, IN_G = (f"event_ts >= TIMESTAMP '{s}' AND event_ts < TIMESTAMP '{e}'" for s, e in (A, B, G))
+
+PRELUDE = f"""WITH RECURSIVE transfers AS (
+  SELECT event_id AS transfer_id, ts AS event_ts,
+    CASE WHEN user_id % 2 = 0 THEN lpad(cast(user_id % 27 AS varchar), 3, '0') ELSE cast(user_id % 27 AS varchar) END AS from_bank,
+    cast(user_id AS varchar) AS from_account,
+    CASE WHEN k % 2 = 0 THEN lpad(cast(k % 27 AS varchar), 3, '0') ELSE cast(k % 27 AS varchar) END AS to_bank,
+    cast(k AS varchar) AS to_account, value AS amount_paid,
+    CASE event_type WHEN 'signup' THEN 'Euro' WHEN 'error' THEN 'Bitcoin' ELSE 'US Dollar' END AS payment_currency,
+    CASE event_id % 5 WHEN 0 THEN 'ACH' WHEN 1 THEN 'Wire' WHEN 2 THEN 'Cheque' WHEN 3 THEN 'Cash' ELSE 'Credit Card' END AS payment_format
+  FROM (SELECT *, cast(json_extract_string(props, '$.k') AS int) AS k FROM events)
+), usd AS (SELECT * FROM transfers WHERE payment_currency = 'US Dollar'),
+banks AS (SELECT cast(n_nationkey AS varchar) AS bank_id, n_name AS bank_name FROM nation),
+names AS (SELECT {KEY.format("bank_id")} AS bank_key, min(bank_name) AS bank_name FROM banks GROUP BY 1),
+fx(fx_date, iso, rate) AS (VALUES {RATES}),
+conv AS (
+  SELECT t.*, amount_paid / rate AS converted_amount FROM transfers t
+  JOIN fx ON fx_date = cast(event_ts AS date) AND iso = CASE payment_currency {ISO} END WHERE payment_currency <> 'Bitcoin'
+),
+edges AS (SELECT DISTINCT from_bank, from_account, to_bank, to_account FROM usd WHERE {IN_G}),
+outs AS (SELECT from_bank AS bank, from_account AS account, count(*) AS degree FROM edges GROUP BY 1, 2),
+ins AS (SELECT to_bank AS bank, to_account AS account, count(*) AS degree FROM edges GROUP BY 1, 2),
+scatter AS (SELECT e.* FROM edges e JOIN outs ON bank = from_bank AND account = from_account WHERE degree >= 5),
+gather AS (SELECT e.* FROM edges e JOIN ins ON bank = to_bank AND account = to_account WHERE degree >= 5),
+chains AS (
+  SELECT a.from_bank AS left_bank, a.from_account AS left_account, a.to_bank AS middle_bank, a.to_account AS middle_account, b.to_bank AS right_bank, b.to_account AS right_account
+  FROM scatter a JOIN gather b ON a.to_bank = b.from_bank AND a.to_account = b.from_account
+),
+pairs AS (SELECT left_bank, left_account, right_bank, right_account, count(*) AS middles FROM chains GROUP BY 1, 2, 3, 4 HAVING count(*) >= 5)
+"""
+
+
+def query(name: str, sql: str | None = None):
+    def put(fn: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[name] = fn
+        if sql:
+            ORACLE_SQL[name] = PRELUDE + sql
+        return fn
+
+    return put
+
+
+def transfers(s: SparkSession, d: str) -> DataFrame:
+    return fixture.transfers(s, d)
+
+
+def usd(s: SparkSession, d: str) -> DataFrame:
+    return aml.in_currency(fixture.transfers(s, d))
+
+
+def converted(s: SparkSession, d: str) -> DataFrame:
+    return aml.converted(transfers(s, d), fixture.fx_rates(s))
+
+
+# Scans, projections and filters
+
+COLUMNS = "transfer_id, event_ts, from_bank, from_account, to_bank, to_account, amount_paid, payment_currency, payment_format"
+query("scan_transfers", f"SELECT {COLUMNS} FROM transfers")(transfers)
+query(
+    "scan_accounts",
+    "SELECT n_name AS bank_name, cast(n_nationkey AS varchar) AS bank_id, cast(c_custkey AS varchar) AS account_number, 'E' || c_custkey AS entity_id, c_name AS entity_name "
+    "FROM customer JOIN nation ON c_nationkey = n_nationkey",
+)(fixture.accounts)
+SEVEN = ["event_ts", *R.EDGE, "amount_paid", "payment_format"]
+query("proj_after_currency", f"SELECT {', '.join(SEVEN)} FROM usd")(lambda s, d: usd(s, d).select(SEVEN))
+query("proj_edges", f"SELECT {', '.join(R.EDGE)} FROM usd")(lambda s, d: usd(s, d).select(R.EDGE))
+query("generic_filter_project", "SELECT transfer_id, from_bank, amount_paid FROM transfers WHERE payment_format = 'Wire' AND amount_paid >= 100")(
+    lambda s, d: R.filter_project(transfers(s, d), (F.col("payment_format") == "Wire") & (F.col("amount_paid") >= 100), "transfer_id", "from_bank", "amount_paid")
+)
+query("filter_currency", "SELECT transfer_id, payment_currency FROM transfers WHERE payment_currency IN ('US Dollar', 'Euro')")(
+    lambda s, d: R.filter_project(transfers(s, d), F.col("payment_currency").isin("US Dollar", "Euro"), "transfer_id", "payment_currency")
+)
+query("filter_date_payment", f"SELECT transfer_id, event_ts, payment_format FROM transfers WHERE payment_format IN ('ACH', 'Wire') AND {IN_A}")(
+    lambda s, d: R.filter_project(transfers(s, d), F.col("payment_format").isin(*aml.DEFAULT.formats) & E.within(F.col("event_ts"), A), "transfer_id", "event_ts", "payment_format")
+)
+query("filter_date_closed", f"SELECT transfer_id, event_ts FROM transfers WHERE event_ts BETWEEN TIMESTAMP '{A[0]}' AND TIMESTAMP '{A[1]}'")(
+    lambda s, d: R.filter_project(transfers(s, d), E.within(F.col("event_ts"), A, inclusive_end=True), "transfer_id", "event_ts")
+)
+query("filter_converted_amount", "SELECT transfer_id, round(converted_amount, 6) AS converted_amount FROM conv WHERE converted_amount < 1")(
+    lambda s, d: R.filter_project(converted(s, d), F.col("converted_amount") < 1, "transfer_id", F.round("converted_amount", 6).alias("converted_amount"))
+)
+query("route_periods", f"SELECT transfer_id, CASE WHEN {IN_A} THEN 0 ELSE 1 END AS period FROM transfers WHERE ({IN_A}) OR ({IN_B})")(
+    lambda s, d: transfers(s, d)
+    .select("transfer_id", F.when(E.within(F.col("event_ts"), A), 0).when(E.within(F.col("event_ts"), B), 1).alias("period"))
+    .filter("period is not null")
+)
+BOTH = "SELECT from_bank AS bank, from_account AS account, true AS is_left FROM {0} UNION ALL SELECT to_bank, to_account, false FROM {0}"
+query("split_transfer_endpoints", BOTH.format("usd"))(lambda s, d: R.split_endpoints(usd(s, d)))
+query("union_endpoints", BOTH.format("usd"))(lambda s, d: R.union_endpoints(usd(s, d)))
+query("pair_endpoints", "SELECT left_bank AS bank, left_account AS account, true AS is_left FROM pairs UNION ALL SELECT right_bank, right_account, false FROM pairs")(
+    lambda s, d: R.pair_endpoints(aml.scatter_gather_pairs(usd(s, d)))
+)
+
+# Scalar functions
+
+
+def per_row(name: str, expression, sql: str) -> None:
+    query(name, f"SELECT transfer_id, {sql} AS result FROM transfers")(lambda s, d: transfers(s, d).select("transfer_id", expression().alias("result")))
+
+
+def written_ts():
+    """The time as a file has it, with a tail; one in seven is no time."""
+    return F.when(F.col("transfer_id") % 7 == 0, "2024/13/99 xx").otherwise(F.concat(F.date_format("event_ts", "yyyy/MM/dd HH:mm"), F.lit(":59 tail")))
+
+
+def written_flag():
+    return F.get(F.array(*map(F.lit, ["1", "0", "1 yes", ""])), F.col("transfer_id") % 4)
+
+
+per_row("fn_normalize_bank", lambda: E.normalize_bank(F.col("from_bank")), KEY.format("from_bank"))
+per_row("fn_currency_iso", lambda: E.currency_iso(F.col("payment_currency")), f"CASE payment_currency {ISO} END")
+per_row("fn_date_key", lambda: E.date_key(F.col("event_ts")), "cast(event_ts AS date)")
+per_row("fn_format_amount", lambda: E.format_amount(F.col("amount_paid")), "printf('%.2f', amount_paid)")
+per_row("fn_parse_ts", lambda: E.parse_ts(written_ts()), "CASE WHEN transfer_id % 7 <> 0 THEN date_trunc('minute', event_ts) END")
+per_row("fn_parse_laundering", lambda: E.parse_laundering(written_flag()), "transfer_id % 4 IN (0, 2)")
+
+# Rates, dimensions and aggregates
+
+query("dim_fx_rates", "SELECT fx_date, iso, cast(rate AS double) AS rate FROM fx")(lambda s, d: fixture.fx_rates(s))
+query("q5_fx_join", "SELECT transfer_id, round(converted_amount, 6) AS converted_amount FROM conv")(
+    lambda s, d: converted(s, d).select("transfer_id", F.round("converted_amount", 6).alias("converted_amount"))
+)
+query("distinct_banks", "SELECT bank_key, bank_name FROM names")(
+    lambda s, d: R.distinct_on(fixture.banks(s, d), E.normalize_bank(F.col("bank_id")), "bank_key", "bank_name")
+)
+TOP = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {{k}}{KEY.format('from_bank')} ORDER BY amount_paid DESC, from_account DESC, from_bank DESC) AS r FROM {{t}}) WHERE r = 1"
+LARGEST = f"SELECT from_bank, from_account, amount_paid FROM ({TOP.format(k='', t='usd')})"
+query("agg_argmax_by_bank", LARGEST)(lambda s, d: aml.largest_by_bank(usd(s, d)).select("from_bank", "from_account", "amount_paid"))
+query("q2_window_variant", LARGEST)(lambda s, d: aml.q2_window(usd(s, d)))
+query("agg_sum_count_by_format", f"SELECT payment_format, round(sum(amount_paid), 2) AS total, count(*) AS n FROM usd WHERE {IN_A} GROUP BY 1")(
+    lambda s, d: usd(s, d).filter(E.within(F.col("event_ts"), A)).groupBy("payment_format").agg(F.round(F.sum("amount_paid"), 2).alias("total"), F.count("*").alias("n"))
+)
+query("agg_avg_by_format", f"SELECT payment_format, round(avg(amount_paid), 6) AS average FROM usd WHERE {IN_A} GROUP BY 1")(
+    lambda s, d: aml.format_averages(usd(s, d)).select("payment_format", F.round("average", 6).alias("average"))
+)
+
+# The five queries
+
+Q1 = "SELECT {c}from_bank, from_account, to_bank, to_account, amount_paid FROM {t} WHERE amount_paid < 50"
+Q2 = f"SELECT {{c}}from_bank, from_account, bank_name, amount_paid FROM ({TOP}) JOIN names ON bank_key = {KEY.format('from_bank')}"
+Q3 = (
+    f"SELECT {{c}}from_bank, from_account, payment_format, amount_paid FROM {{t}} JOIN (SELECT {{c}}payment_format, avg(amount_paid) AS average FROM {{t}} WHERE {IN_A} GROUP BY ALL) "
+    f"USING ({{c}}payment_format) WHERE {IN_B} AND amount_paid < average / 100"
+)
+Q4 = "SELECT left_bank AS bank, left_account AS account FROM pairs UNION SELECT right_bank, right_account FROM pairs"
+Q5 = f"SELECT count(*) AS size FROM conv WHERE payment_format IN ('ACH', 'Wire') AND {IN_A} AND converted_amount < 1"
+query("q1_low_amount", Q1.format(c="", t="usd"))(lambda s, d: aml.q1(usd(s, d)))
+query("q2_max_per_bank", Q2.format(c="", t="usd", k=""))(lambda s, d: aml.q2(usd(s, d), fixture.banks(s, d)))
+query("q3_below_avg_fraction", Q3.format(c="", t="usd"))(lambda s, d: aml.q3(usd(s, d)))
+query("q4_out_degree", "SELECT * FROM outs")(lambda s, d: R.degree(aml.graph(usd(s, d)), "from"))
+query("q4_in_degree", "SELECT * FROM ins")(lambda s, d: R.degree(aml.graph(usd(s, d)), "to"))
+query("q4_semi_scatter", "SELECT * FROM scatter")(lambda s, d: R.reduced(aml.graph(usd(s, d)), "from", 5).select(R.EDGE))
+query("q4_semi_gather", "SELECT * FROM gather")(lambda s, d: R.reduced(aml.graph(usd(s, d)), "to", 5).select(R.EDGE))
+
+
+@query("q4_chains", "SELECT * FROM chains")
+def q4_chains(s: SparkSession, d: str) -> DataFrame:
+    pairs = aml.graph(usd(s, d))
+    return R.chains(R.reduced(pairs, "from", 5), R.reduced(pairs, "to", 5))
+
+
+query("q4_pair_middles", "SELECT * FROM pairs")(lambda s, d: aml.scatter_gather_pairs(usd(s, d)))
+query("q4_scatter_gather_accounts", Q4)(lambda s, d: aml.q4(usd(s, d)))
+query("q5_count_converted", Q5)(lambda s, d: aml.q5(transfers(s, d), fixture.fx_rates(s)))
+
+# Variants and exploration
+
+query(
+    "q2_notebook_variant",
+    f"SELECT DISTINCT from_bank, from_account, b.bank_name, amount_paid FROM (SELECT *, {KEY.format('from_bank')} AS k, row_number() OVER (PARTITION BY {KEY.format('from_bank')} "
+    f"ORDER BY amount_paid DESC, transfer_id) AS r FROM usd) JOIN banks b ON k = {KEY.format('b.bank_id')} WHERE r = 1",
+)(lambda s, d: aml.q2_first_row(usd(s, d), fixture.banks(s, d)))
+SCATTERERS = f"SELECT u.transfer_id, u.from_bank, u.from_account, u.to_bank, u.to_account FROM usd u JOIN outs ON bank = from_bank AND account = from_account WHERE {IN_G} AND degree > 5"
+query("group_filter_having", SCATTERERS)(lambda s, d: aml.scatterers(usd(s, d)).select("transfer_id", *R.EDGE))
+query(
+    "q4_notebook_variant",
+    f", sc AS ({SCATTERERS}), pr AS (SELECT a.from_bank AS lb, a.from_account AS la, b.to_bank AS rb, b.to_account AS ra FROM sc a JOIN sc b ON a.to_bank = b.from_bank AND a.to_account = b.from_account "
+    "WHERE a.from_bank <> b.to_bank OR a.from_account <> b.to_account GROUP BY ALL HAVING count(*) > 5) SELECT lb AS bank, la AS account FROM pr UNION SELECT rb, ra FROM pr",
+)(lambda s, d: aml.q4_counting_rows(usd(s, d)))
+query("eda_ts_range", "SELECT min(event_ts) AS first_ts, max(event_ts) AS last_ts FROM transfers")(
+    lambda s, d: transfers(s, d).agg(F.min("event_ts").alias("first_ts"), F.max("event_ts").alias("last_ts"))
+)
+query("eda_currencies", "SELECT payment_currency, count(*) AS n FROM transfers GROUP BY 1")(
+    lambda s, d: transfers(s, d).groupBy("payment_currency").agg(F.count("*").alias("n"))
+)
+query("eda_accounts_multi_bank", f"SELECT account, count(DISTINCT bank) AS n_banks FROM ({BOTH.format('transfers')}) GROUP BY 1")(
+    lambda s, d: R.split_endpoints(transfers(s, d)).groupBy("account").agg(F.count_distinct("bank").alias("n_banks"))
+)
+
+# Clients side by side, messages, verification
+
+MANY = ", many AS (SELECT cast(from_account AS bigint) % 3 AS client_id, * FROM transfers), musd AS (SELECT * FROM many WHERE payment_currency = 'US Dollar') "
+CLIENT = ("client_id",)
+
+
+def clients(s: SparkSession, d: str) -> DataFrame:
+    return transfers(s, d).withColumn("client_id", F.col("from_account").cast("bigint") % 3)
+
+
+def clients_usd(s: SparkSession, d: str) -> DataFrame:
+    return aml.in_currency(clients(s, d))
+
+
+query("multi_client_q1", MANY + Q1.format(c="client_id, ", t="musd"))(lambda s, d: aml.q1(clients_usd(s, d), keys=CLIENT))
+query("multi_client_q2", MANY + Q2.format(c="client_id, ", t="musd", k="client_id, "))(lambda s, d: aml.q2(clients_usd(s, d), fixture.banks(s, d), keys=CLIENT))
+query("multi_client_q3", MANY + Q3.format(c="client_id, ", t="musd"))(lambda s, d: aml.q3(clients_usd(s, d), keys=CLIENT))
+query(
+    "multi_client_q4",
+    MANY + f", me AS (SELECT DISTINCT client_id, from_bank, from_account, to_bank, to_account FROM musd WHERE {IN_G}), "
+    "mp AS (SELECT a.client_id, a.from_bank AS lb, a.from_account AS la, b.to_bank AS rb, b.to_account AS ra FROM me a JOIN me b "
+    "ON a.client_id = b.client_id AND a.to_bank = b.from_bank AND a.to_account = b.from_account GROUP BY ALL HAVING count(*) >= 5) "
+    "SELECT client_id, lb AS bank, la AS account FROM mp UNION SELECT client_id, rb, ra FROM mp",
+)(lambda s, d: aml.q4(clients_usd(s, d), keys=CLIENT))
+query(
+    "multi_client_q5",
+    MANY + f"SELECT client_id, count(*) FILTER (WHERE payment_format IN ('ACH', 'Wire') AND {IN_A} AND converted_amount < 1) AS size "
+    "FROM many LEFT JOIN (SELECT transfer_id, converted_amount FROM conv) USING (transfer_id) GROUP BY 1",
+)(lambda s, d: aml.q5(clients(s, d), fixture.fx_rates(s), keys=CLIENT))
+
+
+@query("abort_clients_anti", MANY + "SELECT client_id, transfer_id FROM many WHERE client_id <> 1")
+def abort_clients_anti(s: SparkSession, d: str) -> DataFrame:
+    aborted = s.createDataFrame([(1,)], "client_id bigint")
+    return runner.without_aborted(clients(s, d).select("client_id", "transfer_id"), aborted)
+
+
+@query("dedup_messages", MANY + "SELECT client_id, transfer_id % 5 AS sender_id, transfer_id // 5 AS seq, amount_paid FROM many")
+def dedup_messages(s: SparkSession, d: str) -> DataFrame:
+    sent = clients(s, d).select("client_id", (F.col("transfer_id") % 5).alias("sender_id"), F.floor(F.col("transfer_id") / 5).alias("seq"), "amount_paid")
+    return runner.deduplicated(sent.unionByName(sent.filter("seq % 3 = 0")))
+
+
+query("verify_multiset_diff", "SELECT unnest(['left', 'right']) AS side, cast(0 AS bigint) AS n")(
+    lambda s, d: R.multiset_diff(aml.q4(usd(s, d)), aml.q4(usd(s, d), reduce=False))
+)
+
+# Streams
+
+query("stream_ingest", f"SELECT {COLUMNS} FROM transfers")(runner.ingest)
+query("stream_available_now", "SELECT payment_format, round(sum(amount_paid), 2) AS total, count(*) AS n FROM usd GROUP BY 1")(runner.format_totals)
+query("stream_q3_foreachbatch", Q3.format(c="", t="usd"))(runner.q3)
+query("stream_tumbling_extra", "SELECT date_trunc('hour', event_ts) AS hour, payment_currency, count(*) AS n FROM transfers GROUP BY 1, 2")(runner.hourly)
