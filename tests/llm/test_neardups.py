@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
@@ -57,12 +58,14 @@ def corpus(seed):
     return rows + [(3, "One two"), (7, "x " * 3000), (8, "x " * 3100)]
 
 
-def test_against_brute_force(spark):
-    for seed in (1, 2, 3):
-        rows = corpus(seed)
-        docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, rep int").repartition(3)
-        got = sorted(map(tuple, N.near_duplicates(docs).collect()), key=str)
-        assert got == brute(rows)
+@pytest.mark.parametrize(("seed", "stars", "block"), [(1, N.STARS, N.BLOCK_CLASSES), (2, 1, 4), (3, 0, 5)])
+def test_against_brute_force(spark, monkeypatch, seed, stars, block):
+    monkeypatch.setattr(N, "STARS", stars)
+    monkeypatch.setattr(N, "BLOCK_CLASSES", block)
+    rows = corpus(seed)
+    docs = spark.createDataFrame([(*r, 7) for r in rows], "doc_id long, text string, rep int").repartition(3)
+    got = sorted(map(tuple, N.near_duplicates(docs).collect()), key=str)
+    assert got == brute(rows)
 
 
 @settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))

@@ -6,12 +6,15 @@ leads, tried again until that one is full (optimal densification). Bands of five
 bucket keys: two sets of similarity 0.75 share no bucket with a chance of about 1e-6.
 
 Equal sets become one class first. In a bucket the class that meets most others over all
-buckets is the centre, and only it is compared with the rest, on their full sets: first each
-class with the centre that it meets most often, then with the other centres of a different
-component. Then the centres leave their buckets, and buckets that still hold several
-components choose new ones, until none does. So a bucket of n classes that are alike gives
-n - 1 candidates and not n squared, and no pair of a bucket stays untested unless both are
-in one component already.
+buckets is the centre, and only it is compared with the rest, on their full sets; then it
+leaves the bucket and, where several components are left, another centre takes its place. So
+a bucket of n classes that are alike gives n - 1 candidates and not n squared. After STARS
+such rounds what still meets across components is heavily edited copies. Their pairs are not
+made into rows but bounded where they lie, in blocks: each set is also a bitmap of one bit of
+each hash, and the common bits of two bitmaps, with an allowance for bits that stand for more
+than one hash, are never fewer than the common shingles. Pairs whose bound can't reach the
+threshold are no links; the few others are compared on their full sets. So every pair of a
+bucket is in one component, or compared, or proved to be too different.
 
 Components are found by large-star and small-star steps over tables; the driver sees counts
 alone. A hot bucket is a group of a partial aggregate and a skewed key of a join.
@@ -20,6 +23,7 @@ alone. A hot bucket is a group of a partial aggregate and a skewed key of a join
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import arrow_map, table, written
+from tidewater.llm.common import arrow_map, map_batches, record_batch, table, written
 
 WORDS = 5
 #: Similarity of a link, in hundredths.
@@ -36,6 +40,8 @@ BINS, BAND_BINS = 256, 5
 BANDS = BINS // BAND_BINS
 #: Tries of densification before an empty bin takes the next full one.
 TRIES = 4096
+#: Rounds of stars, and bits of a set's bitmap and classes of a block of what they leave.
+STARS, BITS, BLOCK_CLASSES = 2, 8192, 512
 #: Words whose shingles are hashed at a time.
 BLOCK_WORDS = 1 << 20
 
@@ -148,18 +154,75 @@ def signed(docs: DataFrame) -> DataFrame:
     return arrow_map(docs.select("doc_id", "text"), make, SIGNED)
 
 
+def bitmap(shingles: np.ndarray) -> bytes:
+    """One bit for each hash, by its lowest bits."""
+    bits = np.zeros(BITS, np.uint8)
+    bits[(shingles & np.uint64(BITS - 1)).astype(np.int64)] = 1
+    return np.packbits(bits).tobytes()
+
+
 def sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(rep, shingles) of the documents named in wanted(rep)."""
+    """(rep, shingles, bits) of the documents named in wanted(rep)."""
 
     def make():
         def fn(batch: pa.RecordBatch) -> dict:
             sets = shingle_sets(batch["text"].to_pylist())
-            return {"rep": batch["doc_id"], "shingles": [s.view(np.int64) for s in sets]}
+            return {"rep": batch["doc_id"], "shingles": [s.view(np.int64) for s in sets], "bits": [bitmap(s) for s in sets]}
 
         return fn
 
     picked = docs.select("doc_id", "text").join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi")
-    return arrow_map(picked.dropDuplicates(["doc_id"]), make, "rep long, shingles array<long>")
+    return arrow_map(picked.dropDuplicates(["doc_id"]), make, "rep long, shingles array<long>, bits binary")
+
+
+def bounded_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs (a, b) within a bucket, of different labels, whose bitmaps allow a link.
+
+    rows(key, rep, label, n, bits, met): met is the bucket's number of rows. A bucket is cut
+    into blocks by a hash of rep, and each two blocks are gone through together.
+    """
+    blocks = F.ceil(F.col("met") / BLOCK_CLASSES).cast("int")
+    own = F.pmod(F.xxhash64("rep"), blocks).cast("int")
+    cut = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    cut = cut.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "label", "n", "bits")
+    cut = cut.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "rep")
+
+    def compared(group: list[tuple]) -> list[tuple[int, int]]:
+        rep, label, n, own = (np.array([r[k] for r in group], np.int64) for k in ("rep", "label", "n", "own"))
+        bits = np.frombuffer(b"".join(r["bits"] for r in group), np.uint64).reshape(len(group), -1)
+        spare = n - np.bitwise_count(bits).sum(axis=1)
+        across = group[0]["i"] != group[0]["j"]
+        out = []
+        for x in range(len(group)):
+            later = np.arange(len(group)) > x
+            may = later & (label != label[x]) & (100 * np.minimum(n, n[x]) >= SIMILARITY * np.maximum(n, n[x]))
+            if across:
+                may &= own != own[x]
+            at = np.flatnonzero(may)
+            if len(at):
+                most = np.bitwise_count(bits[at] & bits[x]).sum(axis=1) + np.minimum(spare[at], spare[x])
+                at = at[100 * most >= SIMILARITY * (n[at] + n[x] - most)]
+                out += [(int(rep[x]), int(rep[y])) for y in at]
+        return out
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        group: list[dict] = []
+        seen: set[tuple[int, int]] = set()
+        for batch in batches:
+            for row in batch.to_pylist():
+                if group and (row["key"], row["i"], row["j"]) != (group[0]["key"], group[0]["i"], group[0]["j"]):
+                    seen.update(compared(group))
+                    group = []
+                group.append(row)
+            if len(seen) >= 100_000:
+                yield record_batch({"a": [a for a, _ in seen], "b": [b for _, b in seen]}, "a long, b long")
+                seen.clear()
+        if group:
+            seen.update(compared(group))
+        if seen:
+            yield record_batch({"a": [a for a, _ in seen], "b": [b for _, b in seen]}, "a long, b long")
+
+    return map_batches(cut, run, "a long, b long").distinct()
 
 
 def verified(edges: DataFrame, sets: DataFrame) -> DataFrame:
@@ -186,9 +249,10 @@ def components(edges: DataFrame) -> DataFrame:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(tops)
         before = mark
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        least = written(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))  # a hub's join can then be split
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = written(large)
+        least = written(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         now = written(small.filter("u <> v").distinct())
 
@@ -206,37 +270,29 @@ def class_links(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """(rep, label) of the classes (rep, n_shingles, bands) that share a bucket with another:
     the smallest rep of each one's component."""
     rows = classes.select("rep", F.col("n_shingles").alias("n"), F.explode("bands").alias("key"))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("met")).filter("met > 1")
+    # the small sides of joins are written first, so that a join's own shuffle meets a hot
+    # bucket, which adaptive execution then splits
+    sizes = written(rows.groupBy("key").agg(F.count("*").alias("met")).filter("met > 1"))
     live = written(rows.join(sizes, "key"))
     met = live.groupBy("rep").agg(F.sum("met").alias("met"))
     live = written(live.drop("met").join(met, "rep"))
     labels = written(live.select("rep", F.col("rep").alias("label")).distinct())
     sets = written(sets_of(docs, labels.select("rep")))
     near = (100 * F.least("n", "cn") >= SIMILARITY * F.greatest("n", "cn")) & (F.col("label") != F.col("cl")) & (F.col("rep") != F.col("c"))
-    first = True
-    while True:
+    several = [F.min("label").alias("low"), F.max("label").alias("high")]
+    for _ in range(STARS):
         held = live.join(labels, "rep")
         top = F.max(F.struct("met", (-F.col("rep")).alias("last"), "rep", "n", "label")).alias("top")
-        stars = held.groupBy("key").agg(top, F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-        stars = stars.select("key", F.col("top.rep").alias("c"), F.col("top.n").alias("cn"), F.col("top.label").alias("cl"))
+        stars = held.groupBy("key").agg(top, *several).filter("low < high")
+        stars = written(stars.select("key", F.col("top.rep").alias("c"), F.col("top.n").alias("cn"), F.col("top.label").alias("cl")))
         starred = written(held.join(stars, "key"))
-        edges = starred.filter(near).groupBy(F.col("rep").alias("b"), F.col("c").alias("a")).agg(F.count("*").alias("shared"))
-        if starred.isEmpty():
-            return labels
-        edges = written(edges)
-        if first and not edges.isEmpty():
-            best = edges.groupBy("b").agg(F.max(F.struct("shared", (-F.col("a")).alias("last"), "a")).alias("top")).select(F.col("top.a").alias("a"), "b")
-            best = written(best)
-            labels = relabelled(labels, written(verified(best, sets)))
-            edges = edges.join(best, ["a", "b"], "left_anti")
-            la, lb = labels.toDF("a", "la"), labels.toDF("b", "lb")
-            edges = written(edges.join(la, "a").join(lb, "b").filter("la <> lb").select("a", "b"))
-        first = False
-        if not edges.isEmpty():
-            links = written(verified(edges, sets))
-            if not links.isEmpty():
-                labels = relabelled(labels, links)
+        edges = starred.filter(near).select(F.col("c").alias("a"), F.col("rep").alias("b")).distinct()
+        labels = relabelled(labels, written(verified(edges, sets)))
         live = starred.filter("rep <> c").select("key", "rep", "n", "met")
+    held = written(live.drop("met").join(labels, "rep"))
+    mixed = written(held.groupBy("key").agg(F.count("*").alias("met"), *several).filter("low < high").select("key", "met"))
+    left = held.join(mixed, "key").join(sets.select("rep", "bits"), "rep")
+    return relabelled(labels, written(verified(bounded_pairs(left), sets)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
