@@ -139,7 +139,8 @@ def decided(keys: DataFrame, step: int | None, window: int) -> tuple[DataFrame,
     """From written keys: stretches of repeats (doc_id, row, begin, end), and the runs that the
     next pass cuts. Of runs with one stretch a single one goes on, if others share its digit:
     it is done itself, but others may share some of its windows."""
-    often = keys.groupBy("lo", "short").agg(F.count("*").alias("n")).filter("n > 1").drop("n")
+    # written, so that the join's own shuffle meets a hot digit and can be split
+    often = written(keys.groupBy("lo", "short").agg(F.count("*").alias("n")).filter("n > 1").drop("n"))
     some = written(keys.join(often, ["lo", "short"]))
     stretch = ["lo", "short", "long1", "long2"]
     one = F.min(F.struct("doc_id", "row", "first", "low", "high")).alias("one")
@@ -149,7 +150,7 @@ def decided(keys: DataFrame, step: int | None, window: int) -> tuple[DataFrame,
     place = F.col("first") + F.col("high")  # the minimizer
     done = some.join(groups.filter("n > 1").drop("one"), stretch)
     done = done.select("doc_id", "row", (place - b).alias("begin"), (place - a + window).alias("end"))
-    mixed = groups.groupBy("lo", "short").agg(F.count("*").alias("kinds")).filter("kinds > 1")
+    mixed = written(groups.groupBy("lo", "short").agg(F.count("*").alias("kinds")).filter("kinds > 1"))
     return done, groups.join(mixed, ["lo", "short"]).select("one.*", "lo")
 
 
