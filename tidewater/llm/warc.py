@@ -66,8 +66,10 @@ def with_responses(pages: DataFrame, least_bytes: int = LEAST_BYTES) -> DataFram
     the page is that one, has no page_id, or has too small a payload."""
     rows = pages.select("page_id", "url", F.encode(F.coalesce("html", F.lit("")), "utf-8").alias("payload"))
     rows = rows.withColumn("sha1", F.sha1("payload"))
-    best = rows.filter(F.octet_length("payload") >= least_bytes).groupBy("sha1").agg(F.max("page_id").alias("best"))
-    rows = rows.join(best, "sha1", "left")  # a hot digest is a skewed key of this join, which Spark splits
+    equal = rows.filter(F.octet_length("payload") >= least_bytes).groupBy("sha1").agg(F.max("page_id").alias("best"), F.count("*").alias("n"))
+    # written, so that the join's own shuffle meets a hot digest and can be split
+    best = written(equal.filter("n > 1").select("sha1", "best"))
+    rows = rows.join(best, "sha1", "left")
     return rows.withColumn("refers_to", F.when(F.col("best") != F.col("page_id"), F.col("best"))).drop("best")
 
 
