@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable, Iterable, Iterator
+from pathlib import Path
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -55,8 +58,23 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
 BATCH_ROWS, BATCH_BYTES = 1_000, "16m"
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, once for each Spark context."""
+    context, root = spark.sparkContext, Path(__file__).resolve().parents[1]
+    if getattr(context, "_tidewater_shipped", False) or not root.is_dir():
+        return
+    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="tidewater-")), f"{root.name}.zip")
+    with zipfile.ZipFile(path, "w") as archive:
+        for file in sorted(root.rglob("*.py")):
+            archive.write(file, file.relative_to(root.parent))
+    context.addPyFile(path)
+    context._tidewater_shipped = True
+
+
 def small_batches(df: DataFrame) -> DataFrame:
-    """Sets batches of at most BATCH_ROWS rows and about BATCH_BYTES for this session."""
+    """Prepares a session for Python on executors: they get this package, and batches of at
+    most BATCH_ROWS rows and about BATCH_BYTES."""
+    ship(df.sparkSession)
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key)) <= BATCH_ROWS:
         conf.set(key, str(BATCH_ROWS))
