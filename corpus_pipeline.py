@@ -16,11 +16,21 @@ from tidewater.llm.common import written
 LEAST_SCORE = 0.5
 
 
+def _row(docs: DataFrame):
+    """A document's own columns as one, whatever their names."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+
+
+def _own(docs: DataFrame, **changed) -> list:
+    """A document's columns out of _row, some of them changed."""
+    return [changed.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns]
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a language; where lang is null it becomes the one found."""
-    found = langid.with_language(docs, langid.train(docs))
+    found = langid.with_language(docs.select(_row(docs), "text"), langid.train(docs))
     kept = found.filter((F.col("lang_pred") != "und") & (F.col("lang_score") >= LEAST_SCORE))
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    return kept.select(_own(docs, lang=F.coalesce("_row.lang", "lang_pred")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,18 +44,20 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents with any window of a benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.contamination(docs, benchmark).filter("contaminated").select(F.col("doc_id").alias("bad")).distinct()
-    return docs.join(found, F.col("doc_id").eqNullSafe(F.col("bad")), "left_anti").select(docs.columns)
+    found = decontaminate.contamination(docs, benchmark).filter("contaminated").select("doc_id").distinct()
+    same = F.col("d.doc_id").eqNullSafe(F.col("found.doc_id"))
+    return docs.alias("d").join(found.alias("found"), same, "left_anti").select(docs.columns)
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces each secret by a mark and counts the characters anew."""
-    found = secrets.scan(docs)
-    text = secrets.redacted(F.col("text"), F.col("spans"))
-    clean = found.withColumn("text", text)
+    found = secrets.scan(docs.select(_row(docs), "doc_id", "text"))
+    found = found.withColumn("text", secrets.redacted(F.col("text"), F.col("spans")))
+    changed = {"text": F.col("text")}
     if "n_chars" in docs.columns:
-        clean = clean.withColumn("n_chars", F.when(F.size("spans") > 0, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return clean.select(docs.columns)
+        length = F.length("text").cast(docs.schema["n_chars"].dataType)
+        changed["n_chars"] = F.when(F.size("spans") > 0, length).otherwise(F.col("_row.n_chars"))
+    return found.select(_own(docs, **changed))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tests.llm import test_decontaminate, test_neardups, test_secrets
@@ -70,5 +71,16 @@ def test_packing_covers_every_token(stages):
     assert seen == {k: len(v) for k, v in ids.items()}
 
 
+def test_columns_of_any_name_stay(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(40)
+    extra = ["base", "spans", "bad", "lang_pred", "lang_score", "_row", "kept"]
+    docs = docs.select("*", *[F.lit(i).alias(c) for i, c in enumerate(extra)])
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = written(stage(spark, docs, SF))
+    row = docs.first()
+    assert [row[c] for c in extra] == list(range(len(extra)))
+    assert corpus_pipeline.packed(spark, docs, SF).count() >= docs.count()
+
+
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100

@@ -134,7 +134,8 @@ def ratio(token: Column, model: list[float]) -> Column:
 
 
 def scan(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
-    """Adds base and spans, arrays of (start, kind, end) by start and then kind, to the rows.
+    """Adds base and spans, arrays of (start, kind, end) by start and then kind, to the rows,
+    in place of columns of these names.
 
     The models' spans are tokens of 20 characters or more, with a ratio of at least
     LEAST_RATIO, that overlap no base span. A null text is empty and has no spans.
