@@ -24,8 +24,9 @@ from tidewater.llm.packing import vocabulary_path
 from tidewater.llm.wordcodec import codec
 
 CHUNK_BITS, DIRECTORY_BITS = 8, 512
-#: Documents in a range of ids, about; a range is written as one or more blocks.
-RANGE_DOCS = 4_000
+#: Documents in a range of ids, about, and the most ranges, whose edges are literals of the
+#: plan; a range is written as one or more blocks.
+RANGE_DOCS, MOST_RANGES = 4_000, 4_096
 #: Ids after which a block ends, at the end of a document.
 BLOCK_IDS = 1 << 20
 
@@ -115,7 +116,7 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = 2, path: str | None =
     the order of their ids, nulls in doc_id come first.
     """
     n = docs.count()
-    parts = max(1, n // RANGE_DOCS)
+    parts = min(MOST_RANGES, max(1, n // RANGE_DOCS))
     edges = sorted(set(docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
     known = F.coalesce("doc_id", F.lit(-(1 << 63)))
     rows = encoded(docs, vocabulary, end_id).withColumn("part", _part(known, edges))
