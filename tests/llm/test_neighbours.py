@@ -58,7 +58,7 @@ def test_a_third_of_copies_and_ties(spark):
 
 
 def test_unusable_vectors_and_empty_tables(spark):
-    rows = [(0, [1.0, 0.0]), (20, None), (40, [0.0, 0.0]), (60, [float("nan"), 1.0]), (80, [None, 1.0]), (100, [float("inf"), 1.0]), (7, [0.5, 0.5]), (7, [0.5, 0.5])]
+    rows = [(0, [1.0, 0.0]), (20, None), (40, [0.0, 0.0]), (60, [float("nan"), 1.0]), (80, [None, 1.0]), (100, [float("inf"), 1.0]), (7, [0.5, 0.5]), (7, [0.5, 0.5]), (120, [1.0, 0.0, 0.0])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
     got = results(N.search(N.build(vectors), vectors.filter("vec_id % 20 = 0"), share=1.0))
     assert set(got) == {0} and [r[1] for r in got[0]] == [7, 7]

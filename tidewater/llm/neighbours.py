@@ -109,15 +109,15 @@ class Index:
 
 
 def build(vectors: DataFrame) -> Index | None:
-    """Indexes every usable vector; None if there are none. Vectors of another width than the
-    widest are an error of the input."""
+    """Indexes every usable vector; None if there are none. Where vectors differ in their
+    number of components, those of the most frequent number are indexed."""
     square = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
     rows = usable(vectors)
-    got = rows.agg(F.max(F.size("embedding")).alias("width"), F.min(F.size("embedding")).alias("least"), F.max(square).alias("long"), F.min(square).alias("short")).first()
-    if got["width"] is None:
+    widths = rows.groupBy(F.size("embedding").alias("width")).agg(F.count("*").alias("n"), F.max(square).alias("long"), F.min(square).alias("short"))
+    got = widths.orderBy(F.desc("n"), F.desc("width")).first()
+    if got is None:
         return None
-    if got["width"] != got["least"]:
-        raise ValueError(f"embeddings have {got['least']} to {got['width']} components")
+    rows = rows.filter(F.size("embedding") == got["width"])
     longest, even = got["long"] ** 0.5, got["short"] < got["long"] * 0.999
     width = got["width"] + even
 
@@ -209,7 +209,8 @@ def search(index: Index, queries: DataFrame, k: int = NEAREST, share: float | No
         return map_batches(index.rows, run, FOUND)
 
     ids, vectors = [], []
-    for row in usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")).toLocalIterator():
+    same = usable(queries).filter(F.size("embedding") == index.width)
+    for row in same.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).toLocalIterator():
         ids.append(row["vec_id"])
         vectors.append(row["embedding"])
         if len(ids) == BLOCK_QUERIES:
