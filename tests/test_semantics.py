@@ -87,6 +87,15 @@ def test_q5(spark):
     assert q5(spark) == 0
 
 
+def test_bounded_sides(spark):
+    from tidewater.operators.relational import bounded
+
+    few, many = bounded(spark.range(3), 3), bounded(spark.range(4), 3)
+    plan = lambda df: spark.range(9).join(df.hint("merge") if df is many else df, "id")._jdf.queryExecution().toString()
+    assert "BroadcastHashJoin" in plan(few) and "SortMergeJoin" in plan(many)
+    assert spark.range(9).join(few, "id").count() == 3
+
+
 def test_clients_are_kept_apart(spark):
     rows = frame(spark, *star(5), *star(4))
     both = rows.withColumn("client_id", F.when(F.col("transfer_id") < 10, 1).otherwise(2))

@@ -1,7 +1,8 @@
 """Operators on frames, built from DataFrame functions alone.
 
-Nothing here hints a broadcast: dimension tables, averages and rates go the broadcast way when
-adaptive execution has measured them as small, and by a shuffle when they are not.
+Dimension tables and rates are broadcast where Spark has measured them as small. bounded() does
+the same for results of aggregates, whose size is known only when they are there: without it
+the other side of their join would be shuffled first, on a few hot keys.
 """
 
 from __future__ import annotations
@@ -29,6 +30,13 @@ def distinct_on(df: DataFrame, key: Column, name: str, value: str) -> DataFrame:
     return df.groupBy(key.alias(name)).agg(F.min(value).alias(value))
 
 
+def bounded(df: DataFrame, most_rows: int = 10_000) -> DataFrame:
+    """A frame to broadcast if it has at most so many rows, which is checked by computing it;
+    else the frame itself, for a join by shuffle."""
+    rows = df.take(most_rows + 1)
+    return df if len(rows) > most_rows else F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
+
+
 def endpoint(side: str) -> list[Column]:
     return [F.col(f"{side}_bank").alias("bank"), F.col(f"{side}_account").alias("account")]
 

@@ -72,7 +72,7 @@ def format_averages(usd: DataFrame, p: Params = DEFAULT, keys: tuple[str, ...] =
 def q3(usd: DataFrame, p: Params = DEFAULT, keys: tuple[str, ...] = ()) -> DataFrame:
     """Transfers of period B below a fraction of period A's average for their format."""
     late = usd.filter(E.within(F.col("event_ts"), p.period_b))
-    found = late.join(format_averages(usd, p, keys), [*keys, "payment_format"])
+    found = late.join(R.bounded(format_averages(usd, p, keys)), [*keys, "payment_format"])
     return found.filter(F.col("amount_paid") < F.col("average") / p.fraction).select(*keys, "from_bank", "from_account", "payment_format", "amount_paid")
 
 
