@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
@@ -71,20 +72,39 @@ def ship(spark: SparkSession) -> None:
     context._tidewater_shipped = True
 
 
+#: Rows that the Parquet reader decodes at a time, and bytes of a row group that it writes.
+READER_ROWS, ROW_GROUP_BYTES = 512, 32 << 20
+
+
 def small_batches(df: DataFrame) -> DataFrame:
-    """Prepares a session for Python on executors: they get this package, and batches of at
-    most BATCH_ROWS rows and about BATCH_BYTES."""
+    """Prepares a session for Python on executors: they get this package, batches of at most
+    BATCH_ROWS rows and about BATCH_BYTES, and small buffers of the Parquet reader and writer,
+    which would otherwise hold a row group of whole texts for each task."""
     ship(df.sparkSession)
     conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(conf.get(key)) <= BATCH_ROWS:
         conf.set(key, str(BATCH_ROWS))
         conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+        conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READER_ROWS))
+        conf.set("parquet.block.size", str(ROW_GROUP_BYTES))
     return df
 
 
-def map_batches(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def give_back() -> None:
+    """Returns freed memory to the system: workers are kept between tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
     """mapInArrow in small batches."""
-    return small_batches(df).mapInArrow(run, schema)
+
+    def task(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        give_back()
+
+    return small_batches(df).mapInArrow(task, schema)
 
 
 def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], dict]], schema: str) -> DataFrame:

@@ -12,15 +12,15 @@ from __future__ import annotations
 
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidewater.llm.common import arrow_map, small_batches, table
+from tidewater.llm.common import arrow_map, map_batches, table
 from tidewater.llm.packing import vocabulary_path
 
 #: Labelled documents that each language learns from, about; and the words, those with the
@@ -34,8 +34,10 @@ SMOOTHING, LETTER = 0.01, 1e-7
 FOLDS = 5
 #: Words whose sums a worker keeps, and words that go through the passes together.
 KEEP_WORDS, BLOCK_WORDS = 200_000, 20_000
+#: Texts whose new words are learned together.
+BLOCK_TEXTS = 250
 #: Entries up to which the pieces' tree is an array by node and letter.
-DENSE = 1 << 25
+DENSE = 1 << 23
 
 WORD = re.compile(r"[^\W\d_]+")
 START = "▁"
@@ -196,6 +198,14 @@ class Scorer:
 
     def texts(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         """The likeliest language of each text, and its probability among the languages."""
+        labels: list[str] = []
+        scores: list[float] = []
+        for i in range(0, len(texts), BLOCK_TEXTS):
+            for into, got in zip((labels, scores), self._block(texts[i : i + BLOCK_TEXTS]), strict=True):
+                into += got
+        return labels, scores
+
+    def _block(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         found = [words(t) for t in texts]
         if len(self.number) > KEEP_WORDS:
             self.fresh()
@@ -253,6 +263,8 @@ def train(docs: DataFrame, vocabulary: str | None = None) -> Model:
         return Model([], every, np.zeros((len(every), 0)))
     often = F.col("n") / F.create_map(*[F.lit(x) for k, n in total.items() for x in (k, float(n))])[F.col("lang")]
     rows = seen.orderBy(often.desc(), "lang", "word").limit(TRAIN_WORDS).collect()
+    seen_letters = {c for r in rows for c in r["word"]} | {START}
+    every = [p for p in every if seen_letters.issuperset(p)]  # no other piece has a count
     tree = Tree(every)
     count: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(languages)))
     for r in rows:
@@ -294,16 +306,17 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 def with_language(docs: DataFrame, model: Model) -> DataFrame:
     """The documents with lang_pred and lang_score beside their own columns."""
     held = docs.sparkSession.sparkContext.broadcast(model)
+    own = docs.select([F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "lang_score")])
+    schema = T.StructType([*own.schema, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
 
-    @F.pandas_udf("lang_pred string, lang_score double")
-    def found(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = held.value.scorer()
-        for part in texts:
-            labels, scores = scorer.texts([t if isinstance(t, str) else None for t in part])
-            yield pd.DataFrame({"lang_pred": labels, "lang_score": scores})
+        for batch in batches:
+            labels, scores = scorer.texts(batch["text"].to_pylist())
+            more = [pa.array(labels, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *more], names=[*batch.schema.names, "lang_pred", "lang_score"])
 
-    own = [c for c in docs.columns if c not in ("lang_pred", "lang_score")]
-    return small_batches(docs).select(*own, found("text").alias("_found")).select(*own, "_found.*")
+    return map_batches(own, run, schema)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

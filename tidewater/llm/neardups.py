@@ -43,7 +43,7 @@ TRIES = 4096
 #: Rounds of stars, and bits of a set's bitmap and classes of a block of what they leave.
 STARS, BITS, BLOCK_CLASSES = 2, 8192, 512
 #: Words whose shingles are hashed at a time.
-BLOCK_WORDS = 1 << 20
+BLOCK_WORDS = 1 << 18
 
 _RNG = np.random.default_rng(977)
 _FACTORS = _RNG.integers(1, 1 << 63, WORDS, np.uint64) | np.uint64(1)
