@@ -64,8 +64,8 @@ class Block:
         """Set bits before bit i."""
         _, bits, ranks = self.levels[level]
         word = i // DIRECTORY_BITS
-        own = bits[word * DIRECTORY_BITS // 8 : -(-i // 8)]
-        return int(ranks[word]) + int(np.unpackbits(own, bitorder="little", count=i - word * DIRECTORY_BITS).sum())
+        own = int.from_bytes(bits[word * DIRECTORY_BITS // 8 : -(-i // 8)].tobytes(), "little")
+        return int(ranks[word]) + (own & ((1 << (i - word * DIRECTORY_BITS)) - 1)).bit_count()
 
     def __getitem__(self, i: int) -> int:
         value = shift = 0
@@ -78,15 +78,19 @@ class Block:
 
     def slice(self, a: int, b: int) -> np.ndarray:
         """Ids from a up to b."""
-        out = np.zeros(b - a, np.uint32)
-        at = np.arange(b - a)
+        out = at = None
         for level, (chunks, bits, _) in enumerate(self.levels):
-            out[at] |= chunks[a:b].astype(np.uint32) << np.uint32(CHUNK_BITS * level)
-            goes = np.unpackbits(bits[a // 8 : -(-b // 8)], bitorder="little")[a % 8 : a % 8 + b - a].astype(bool)
-            if not goes.any():
+            part = chunks[a:b].astype(np.uint32)
+            if out is None:
+                out = part
+            else:
+                out[at] |= part << np.uint32(CHUNK_BITS * level)
+            goes = np.flatnonzero(np.unpackbits(bits[a // 8 : -(-b // 8)], bitorder="little")[a % 8 : a % 8 + b - a])
+            if not len(goes):
                 break
+            at = goes if at is None else at[goes]
             a = self.rank(level, a)
-            b, at = a + int(goes.sum()), at[goes]
+            b = a + len(goes)
         return out
 
 
