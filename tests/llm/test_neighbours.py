@@ -63,3 +63,18 @@ def test_unusable_vectors_and_empty_tables(spark):
     got = results(N.search(N.build(vectors), vectors.filter("vec_id % 20 = 0"), share=1.0))
     assert set(got) == {0} and [r[1] for r in got[0]] == [7, 7]
     assert N.build(spark.createDataFrame([], "vec_id long, embedding array<float>")) is None
+
+
+def test_recall_with_very_long_vectors_and_lognormal_lengths(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(3000, 64)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    one, several = x.copy(), x.copy()
+    one[77] *= 100
+    several[:60] *= 100
+    lognormal = x * rng.lognormal(0, 1, (3000, 1)).astype(np.float32)
+    for vectors in (one, several, lognormal):
+        assert check(spark, vectors) > 0.9
+    monkeypatch.setattr(N, "WHOLE", 50)
+    for vectors in (one, lognormal):
+        assert check(spark, vectors) > 0.9

@@ -4,8 +4,10 @@ A table of the index rotates unit vectors by three rounds of random signs and a
 Hadamard transform, and takes the nearest signed axis as the bucket: 2d buckets. A query
 probes, in each table, the buckets of its nearest few axes, and a row that enough tables
 propose is a candidate, scored by the inner product of the original vectors in double
-precision. Lengths that differ are evened out by one more coordinate, as a maximum inner
-product then is a smallest angle.
+precision. Rows lie in bands of similar length, within a factor of two. Lengths that differ
+in a band are evened out by one more coordinate, as a maximum inner product then is a smallest
+angle, and a query probes every band. In a band of few rows the best are at wide angles, which
+hashing can't tell apart, so that all of its rows are candidates.
 
 The index is a table: every row with a bucket in each table. Queries come in blocks of
 bounded size, a copy of each for every task, and a task goes through its rows once a block:
@@ -15,6 +17,7 @@ of its rows for each query, and only those are dealt out by query.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -28,11 +31,13 @@ TABLES, VOTES, NEAREST = 24, 3, 20
 #: Share of a table's buckets that a query probes: for unit vectors, and for evened ones,
 #: where most of a row's direction may lie in the coordinate that evens it out.
 SHARE, EVENED_SHARE = 0.08, 0.125
+#: Rows up to which a band is scored whole.
+WHOLE = 1000
 #: Queries of a block, and rows that are compared with it at a time.
 BLOCK_QUERIES, BLOCK_ROWS = 4096, 2048
 SEED = 20240611
 
-INDEX = "vec_id long, embedding array<float>, codes binary"
+INDEX = "vec_id long, embedding array<float>, band int, codes binary"
 FOUND = "query_id long, vec_id long, score double"
 
 
@@ -102,37 +107,51 @@ def _evened(x: np.ndarray, longest: float) -> np.ndarray:
 
 
 class Index:
-    """An index table with what its queries need to know."""
+    """An index table with what its queries need to know: each band's number of rows and its
+    longest length, which is None where the lengths are even."""
 
-    def __init__(self, rows: DataFrame, width: int, longest: float, even: bool):
-        self.rows, self.width, self.longest, self.even = rows, width, longest, even
+    def __init__(self, rows: DataFrame, width: int, bands: dict[int, tuple[int, float | None]]):
+        self.rows, self.width, self.bands = rows, width, bands
 
 
 def build(vectors: DataFrame) -> Index | None:
     """Indexes every usable vector; None if there are none. Where vectors differ in their
     number of components, those of the most frequent number are indexed."""
     square = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
-    rows = usable(vectors)
-    widths = rows.groupBy(F.size("embedding").alias("width")).agg(F.count("*").alias("n"), F.max(square).alias("long"), F.min(square).alias("short"))
-    got = widths.orderBy(F.desc("n"), F.desc("width")).first()
-    if got is None:
+    # a band's edges are odd powers of the root of two, so that unit vectors lie in its middle
+    rows = usable(vectors).withColumn("square", square).withColumn("band", F.floor(F.log2("square") / 2 + 0.5).cast("int"))
+    groups = rows.groupBy(F.size("embedding").alias("width"), "band")
+    got = groups.agg(F.count("*").alias("n"), F.max("square").alias("long"), F.min("square").alias("short")).collect()
+    if not got:
         return None
-    rows = rows.filter(F.size("embedding") == got["width"])
-    longest, even = got["long"] ** 0.5, got["short"] < got["long"] * 0.999
-    width = got["width"] + even
+    sizes: Counter[int] = Counter()
+    for r in got:
+        sizes[r["width"]] += r["n"]
+    width = max(sizes, key=lambda w: (sizes[w], w))
+    bands = {r["band"]: (r["n"], r["long"] ** 0.5 if r["short"] < r["long"] * 0.999 else None) for r in got if r["width"] == width}
 
     def make():
-        rotations = Rotations(width)
+        rotations = {even: Rotations(width + (not even)) for even in (True, False)}
 
         def fn(batch: pa.RecordBatch) -> dict:
             x = _matrix(batch["embedding"])
-            x = _evened(x, longest) if even else x / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
-            codes = np.concatenate([rotations.buckets(x[i : i + BLOCK_ROWS]) for i in range(0, len(x), BLOCK_ROWS)])
-            return {"vec_id": batch["vec_id"], "embedding": batch["embedding"], "codes": [c.tobytes() for c in codes]}
+            codes = np.empty((len(x), TABLES), np.uint32)
+            for at, band in _by_band(batch["band"].to_numpy()):
+                longest = bands[band][1]
+                unit = x[at] / np.linalg.norm(x[at].astype(np.float64), axis=1, keepdims=True) if longest is None else _evened(x[at], longest)
+                codes[at] = np.concatenate([rotations[longest is None].buckets(unit[i : i + BLOCK_ROWS]) for i in range(0, len(at), BLOCK_ROWS)])
+            return {"vec_id": batch["vec_id"], "embedding": batch["embedding"], "band": batch["band"], "codes": [c.tobytes() for c in codes]}
 
         return fn
 
-    return Index(written(arrow_map(rows, make, INDEX)), got["width"], longest, even)
+    rows = rows.filter(F.size("embedding") == width).select("vec_id", "embedding", "band")
+    return Index(written(arrow_map(rows, make, INDEX)), width, bands)
+
+
+def _by_band(bands: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """The places of each band's rows, with the band."""
+    for band in np.unique(bands):
+        yield np.flatnonzero(bands == band), int(band)
 
 
 def _best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -151,16 +170,24 @@ class Block:
         self.ids = np.array(ids, np.int64)
         self.vectors = np.array(vectors, np.float32).astype(np.float64)
         unit = self.vectors / np.linalg.norm(self.vectors, axis=1, keepdims=True)
-        if index.even:
-            unit = np.pad(unit, ((0, 0), (0, 1)))
-        share = share or (EVENED_SHARE if index.even else SHARE)
-        self.probed = Rotations(index.width + index.even).probes(unit, share)
+        self.bands = {band: (n <= WHOLE, longest is None) for band, (n, longest) in index.bands.items()}
+        self.probed = {}
+        for even in {even for whole, even in self.bands.values() if not whole}:
+            asked = unit if even else np.pad(unit, ((0, 0), (0, 1)))
+            self.probed[even] = Rotations(asked.shape[1]).probes(asked, share or (SHARE if even else EVENED_SHARE))
 
-    def candidates(self, ids: np.ndarray, rows: np.ndarray, codes: np.ndarray, votes: int, k: int):
+    def candidates(self, ids: np.ndarray, rows: np.ndarray, bands: np.ndarray, codes: np.ndarray, votes: int, k: int):
         """The best k candidates among these rows for each query."""
         met = np.zeros((len(ids), len(self.ids)), np.uint8)
-        for t, hit in enumerate(self.probed):
-            met += hit[codes[:, t]]
+        for at, band in _by_band(bands):
+            whole, even = self.bands[band]
+            if whole:
+                met[at] = votes
+                continue
+            some = np.zeros((len(at), len(self.ids)), np.uint8)
+            for t, hit in enumerate(self.probed[even]):
+                some += hit[codes[at, t]]
+            met[at] = some
         met[ids[:, None] == self.ids[None, :]] = 0
         query, found, scores = [], [], []
         for q, column in enumerate((met >= votes).T):
@@ -198,10 +225,11 @@ def search(index: Index, queries: DataFrame, k: int = NEAREST, share: float | No
                 if not batch.num_rows:
                     continue
                 found, rows = batch["vec_id"].to_numpy(), _matrix(batch["embedding"]).astype(np.float64)
+                bands = batch["band"].to_numpy()
                 codes = np.frombuffer(b"".join(batch["codes"].to_pylist()), np.uint32).reshape(len(found), -1)
                 for i in range(0, len(found), BLOCK_ROWS):
                     cut = slice(i, i + BLOCK_ROWS)
-                    more = asked.candidates(found[cut], rows[cut], codes[cut], votes, k)
+                    more = asked.candidates(found[cut], rows[cut], bands[cut], codes[cut], votes, k)
                     best = _best(*(np.concatenate(x) for x in zip(best, more, strict=True)), k)
             if len(best[0]):
                 yield record_batch({"query_id": asked.ids[best[0]], "vec_id": best[1], "score": best[2]}, FOUND)
