@@ -78,3 +78,34 @@ def test_recall_with_very_long_vectors_and_lognormal_lengths(spark, monkeypatch)
     monkeypatch.setattr(N, "WHOLE", 50)
     for vectors in (one, lognormal):
         assert check(spark, vectors) > 0.9
+
+
+def cone(rng, n=3000, opposite=15):
+    """Unit vectors about one axis, and a few that point the other way, as queries."""
+    x = rng.normal(size=(n, 64)) * 0.05
+    x[:, 0] += 1
+    x[: 20 * opposite : 20, 0] -= 2
+    return (x / np.linalg.norm(x, axis=1, keepdims=True)).astype(np.float32)
+
+
+def test_every_query_has_its_results(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    for n in (2, 15, 40):
+        x = rng.normal(size=(n, 64)).astype(np.float32)
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        ids = 20 * np.arange(n)
+        frame(spark, ids, x).write.parquet(f"{tmp_path}/{n}/embeddings.parquet")
+        got = results(N.op6_nearest_neighbours(spark, f"{tmp_path}/{n}"))
+        want = brute(ids, x, ids, 20)
+        assert {q: [v for _, v, _ in rows] for q, rows in got.items()} == {q: [v for _, v in rows] for q, rows in want.items()}
+
+
+def test_queries_away_from_all_rows(spark, tmp_path):
+    x = cone(np.random.default_rng(5))
+    ids = np.arange(len(x))
+    frame(spark, ids, x).write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = results(N.op6_nearest_neighbours(spark, str(tmp_path)))
+    want = brute(ids, x, range(0, 300, 20), 20)
+    assert all(len(rows) == 20 for rows in got.values()) and len(got) == 150
+    hits = sum(len({v for _, v, _ in got[q]} & {v for _, v in best}) for q, best in want.items())
+    assert hits / 300 > 0.9

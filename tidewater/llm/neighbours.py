@@ -12,7 +12,8 @@ hashing can't tell apart, so that all of its rows are candidates.
 The index is a table: every row with a bucket in each table. Queries come in blocks of
 bounded size, a copy of each for every task, and a task goes through its rows once a block:
 a bucket that holds a third of all rows lies spread over all tasks. A task keeps the best k
-of its rows for each query, and only those are dealt out by query.
+of its rows for each query, and only those are dealt out by query. Queries that meet few
+candidates, as those that point away from nearly all rows, are compared with every row.
 """
 
 from __future__ import annotations
@@ -33,12 +34,15 @@ TABLES, VOTES, NEAREST = 24, 3, 20
 SHARE, EVENED_SHARE = 0.08, 0.125
 #: Rows up to which a band is scored whole.
 WHOLE = 1000
+#: Candidates, in multiples of the results wanted, under which a query is compared with all rows.
+FEW = 5
 #: Queries of a block, and rows that are compared with it at a time.
 BLOCK_QUERIES, BLOCK_ROWS = 4096, 2048
 SEED = 20240611
 
 INDEX = "vec_id long, embedding array<float>, band int, codes binary"
-FOUND = "query_id long, vec_id long, score double"
+#: met, on one row of each query and task, is how many candidates the task had for it.
+FOUND = "query_id long, vec_id long, score double, met long"
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -164,20 +168,22 @@ def _best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tup
 
 
 class Block:
-    """A block of queries with the buckets that they probe."""
+    """A block of queries with the buckets that they probe; where whole is set, all rows are
+    candidates."""
 
-    def __init__(self, index: Index, ids: list[int], vectors: list[list[float]], share: float | None):
+    def __init__(self, index: Index, ids: list[int], vectors: list[list[float]], share: float | None, whole: bool = False):
         self.ids = np.array(ids, np.int64)
         self.vectors = np.array(vectors, np.float32).astype(np.float64)
         unit = self.vectors / np.linalg.norm(self.vectors, axis=1, keepdims=True)
-        self.bands = {band: (n <= WHOLE, longest is None) for band, (n, longest) in index.bands.items()}
+        self.bands = {band: (whole or n <= WHOLE, longest is None) for band, (n, longest) in index.bands.items()}
         self.probed = {}
         for even in {even for whole, even in self.bands.values() if not whole}:
             asked = unit if even else np.pad(unit, ((0, 0), (0, 1)))
             self.probed[even] = Rotations(asked.shape[1]).probes(asked, share or (SHARE if even else EVENED_SHARE))
 
     def candidates(self, ids: np.ndarray, rows: np.ndarray, bands: np.ndarray, codes: np.ndarray, votes: int, k: int):
-        """The best k candidates among these rows for each query."""
+        """The best k candidates among these rows for each query, and each query's number of
+        candidates."""
         met = np.zeros((len(ids), len(self.ids)), np.uint8)
         for at, band in _by_band(bands):
             whole, even = self.bands[band]
@@ -190,7 +196,8 @@ class Block:
             met[at] = some
         met[ids[:, None] == self.ids[None, :]] = 0
         query, found, scores = [], [], []
-        for q, column in enumerate((met >= votes).T):
+        chosen = met >= votes
+        for q, column in enumerate(chosen.T):
             at = np.flatnonzero(column)
             if len(at):
                 s = rows[at] @ self.vectors[q]
@@ -201,8 +208,8 @@ class Block:
                 found.append(ids[at])
                 scores.append(s)
         if not query:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
-        return _best(np.concatenate(query), np.concatenate(found), np.concatenate(scores), k)
+            return (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)), chosen.sum(axis=0)
+        return _best(np.concatenate(query), np.concatenate(found), np.concatenate(scores), k), chosen.sum(axis=0)
 
 
 def search(index: Index, queries: DataFrame, k: int = NEAREST, share: float | None = None, votes: int = VOTES) -> DataFrame:
@@ -210,17 +217,19 @@ def search(index: Index, queries: DataFrame, k: int = NEAREST, share: float | No
     ties to the smaller vec_id.
 
     A query's own row, and any other with its vec_id, is no candidate of it. Of queries that
-    share a vec_id one asks. Repeated rows of the index are each found.
+    share a vec_id one asks. Repeated rows of the index are each found. A query with fewer
+    than FEW * k candidates asks again, of all rows.
     """
     spark = index.rows.sparkSession
     out = None
 
-    def pass_over(ids: list[int], vectors: list[list[float]]) -> DataFrame:
-        held = spark.sparkContext.broadcast(Block(index, ids, vectors, share))
+    def pass_over(ids: list[int], vectors: list[list[float]], whole: bool = False) -> DataFrame:
+        held = spark.sparkContext.broadcast(Block(index, ids, vectors, share, whole))
 
         def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             asked = held.value
             best = (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+            met = np.zeros(len(asked.ids), np.int64)
             for batch in batches:
                 if not batch.num_rows:
                     continue
@@ -229,23 +238,37 @@ def search(index: Index, queries: DataFrame, k: int = NEAREST, share: float | No
                 codes = np.frombuffer(b"".join(batch["codes"].to_pylist()), np.uint32).reshape(len(found), -1)
                 for i in range(0, len(found), BLOCK_ROWS):
                     cut = slice(i, i + BLOCK_ROWS)
-                    more = asked.candidates(found[cut], rows[cut], bands[cut], codes[cut], votes, k)
+                    more, n = asked.candidates(found[cut], rows[cut], bands[cut], codes[cut], votes, k)
+                    met += n
                     best = _best(*(np.concatenate(x) for x in zip(best, more, strict=True)), k)
             if len(best[0]):
-                yield record_batch({"query_id": asked.ids[best[0]], "vec_id": best[1], "score": best[2]}, FOUND)
+                first = np.concatenate([[True], best[0][1:] != best[0][:-1]])
+                counts = np.where(first, met[best[0]], 0)
+                yield record_batch({"query_id": asked.ids[best[0]], "vec_id": best[1], "score": best[2], "met": counts}, FOUND)
 
         return map_batches(index.rows, run, FOUND)
 
+    def answered(ids: list[int], vectors: list[list[float]]) -> DataFrame:
+        found = written(pass_over(ids, vectors))
+        # one row at most for each query of the block
+        met = {r["query_id"]: r["met"] for r in found.groupBy("query_id").agg(F.sum("met").alias("met")).toLocalIterator()}
+        few = [i for i, q in enumerate(ids) if met.get(q, 0) < FEW * k]
+        if not few or all(n <= WHOLE for n, _ in index.bands.values()):  # all rows were candidates
+            return found
+        again = pass_over([ids[i] for i in few], [vectors[i] for i in few], whole=True)
+        asked = spark.createDataFrame([(ids[i],) for i in few], "query_id long")
+        return found.join(F.broadcast(asked), "query_id", "left_anti").unionByName(again)
+
     ids, vectors = [], []
     same = usable(queries).filter(F.size("embedding") == index.width)
     for row in same.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).toLocalIterator():
         ids.append(row["vec_id"])
         vectors.append(row["embedding"])
         if len(ids) == BLOCK_QUERIES:
-            found = pass_over(ids, vectors)
+            found = answered(ids, vectors)
             out, ids, vectors = found if out is None else out.unionByName(found), [], []
     if ids or out is None:
-        found = pass_over(ids, vectors) if ids else spark.createDataFrame([], FOUND)
+        found = answered(ids, vectors) if ids else spark.createDataFrame([], FOUND)
         out = found if out is None else out.unionByName(found)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
