@@ -109,3 +109,15 @@ def test_queries_away_from_all_rows(spark, tmp_path):
     assert all(len(rows) == 20 for rows in got.values()) and len(got) == 150
     hits = sum(len({v for _, v, _ in got[q]} & {v for _, v in best}) for q, best in want.items())
     assert hits / 300 > 0.9
+
+
+def test_every_width_is_searched(spark):
+    rng = np.random.default_rng(6)
+    sets = {16: np.arange(0, 90, 3), 7: np.arange(1, 90, 3), 1: np.arange(2, 30, 3)}
+    rows = {w: (ids, rng.normal(size=(len(ids), w)).astype(np.float32)) for w, ids in sets.items()}
+    frames = [frame(spark, *x) for x in rows.values()]
+    vectors = frames[0].unionByName(frames[1]).unionByName(frames[2])
+    got = results(N.search(N.build(vectors), vectors))
+    for ids, x in rows.values():
+        for q, best in brute(ids, x, ids, 20).items():
+            assert [v for _, v, _ in got[q]] == [v for _, v in best]

@@ -18,7 +18,6 @@ candidates, as those that point away from nearly all rows, are compared with eve
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -111,16 +110,17 @@ def _evened(x: np.ndarray, longest: float) -> np.ndarray:
 
 
 class Index:
-    """An index table with what its queries need to know: each band's number of rows and its
-    longest length, which is None where the lengths are even."""
+    """An index table with what its queries need to know: by the vectors' number of
+    components, each band's number of rows and its longest length, which is None where the
+    lengths are even."""
 
-    def __init__(self, rows: DataFrame, width: int, bands: dict[int, tuple[int, float | None]]):
-        self.rows, self.width, self.bands = rows, width, bands
+    def __init__(self, rows: DataFrame, widths: dict[int, dict[int, tuple[int, float | None]]]):
+        self.rows, self.widths = rows, widths
 
 
 def build(vectors: DataFrame) -> Index | None:
-    """Indexes every usable vector; None if there are none. Where vectors differ in their
-    number of components, those of the most frequent number are indexed."""
+    """Indexes every usable vector; None if there are none. Vectors of each number of
+    components have bands of their own."""
     square = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
     # a band's edges are odd powers of the root of two, so that unit vectors lie in its middle
     rows = usable(vectors).withColumn("square", square).withColumn("band", F.floor(F.log2("square") / 2 + 0.5).cast("int"))
@@ -128,34 +128,34 @@ def build(vectors: DataFrame) -> Index | None:
     got = groups.agg(F.count("*").alias("n"), F.max("square").alias("long"), F.min("square").alias("short")).collect()
     if not got:
         return None
-    sizes: Counter[int] = Counter()
+    widths: dict[int, dict[int, tuple[int, float | None]]] = {}
     for r in got:
-        sizes[r["width"]] += r["n"]
-    width = max(sizes, key=lambda w: (sizes[w], w))
-    bands = {r["band"]: (r["n"], r["long"] ** 0.5 if r["short"] < r["long"] * 0.999 else None) for r in got if r["width"] == width}
+        widths.setdefault(r["width"], {})[r["band"]] = (r["n"], r["long"] ** 0.5 if r["short"] < r["long"] * 0.999 else None)
 
     def make():
-        rotations = {even: Rotations(width + (not even)) for even in (True, False)}
+        rotations: dict[int, Rotations] = {}
 
         def fn(batch: pa.RecordBatch) -> dict:
-            x = _matrix(batch["embedding"])
-            codes = np.empty((len(x), TABLES), np.uint32)
-            for at, band in _by_band(batch["band"].to_numpy()):
-                longest = bands[band][1]
-                unit = x[at] / np.linalg.norm(x[at].astype(np.float64), axis=1, keepdims=True) if longest is None else _evened(x[at], longest)
-                codes[at] = np.concatenate([rotations[longest is None].buckets(unit[i : i + BLOCK_ROWS]) for i in range(0, len(at), BLOCK_ROWS)])
+            codes = np.empty((batch.num_rows, TABLES), np.uint32)
+            bands = batch["band"].to_numpy()
+            for of, width in _by(batch["embedding"].value_lengths().to_numpy()):
+                x = _matrix(batch["embedding"].take(pa.array(of)))
+                for at, band in _by(bands[of]):
+                    longest = widths[width][band][1]
+                    unit = x[at] / np.linalg.norm(x[at].astype(np.float64), axis=1, keepdims=True) if longest is None else _evened(x[at], longest)
+                    rotate = rotations.setdefault(unit.shape[1], Rotations(unit.shape[1]))
+                    codes[of[at]] = np.concatenate([rotate.buckets(unit[i : i + BLOCK_ROWS]) for i in range(0, len(at), BLOCK_ROWS)])
             return {"vec_id": batch["vec_id"], "embedding": batch["embedding"], "band": batch["band"], "codes": [c.tobytes() for c in codes]}
 
         return fn
 
-    rows = rows.filter(F.size("embedding") == width).select("vec_id", "embedding", "band")
-    return Index(written(arrow_map(rows, make, INDEX)), width, bands)
+    return Index(written(arrow_map(rows.select("vec_id", "embedding", "band"), make, INDEX)), widths)
 
 
-def _by_band(bands: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
-    """The places of each band's rows, with the band."""
-    for band in np.unique(bands):
-        yield np.flatnonzero(bands == band), int(band)
+def _by(values: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
+    """The places of each value, with the value."""
+    for value in np.unique(values):
+        yield np.flatnonzero(values == value), int(value)
 
 
 def _best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -168,14 +168,15 @@ def _best(query: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int) -> tup
 
 
 class Block:
-    """A block of queries with the buckets that they probe; where whole is set, all rows are
+    """A block of queries of one width with the buckets that they probe; where whole is set, all rows are
     candidates."""
 
     def __init__(self, index: Index, ids: list[int], vectors: list[list[float]], share: float | None, whole: bool = False):
+        self.width = len(vectors[0])
         self.ids = np.array(ids, np.int64)
         self.vectors = np.array(vectors, np.float32).astype(np.float64)
         unit = self.vectors / np.linalg.norm(self.vectors, axis=1, keepdims=True)
-        self.bands = {band: (whole or n <= WHOLE, longest is None) for band, (n, longest) in index.bands.items()}
+        self.bands = {band: (whole or n <= WHOLE, longest is None) for band, (n, longest) in index.widths[self.width].items()}
         self.probed = {}
         for even in {even for whole, even in self.bands.values() if not whole}:
             asked = unit if even else np.pad(unit, ((0, 0), (0, 1)))
@@ -185,7 +186,7 @@ class Block:
         """The best k candidates among these rows for each query, and each query's number of
         candidates."""
         met = np.zeros((len(ids), len(self.ids)), np.uint8)
-        for at, band in _by_band(bands):
+        for at, band in _by(bands):
             whole, even = self.bands[band]
             if whole:
                 met[at] = votes
@@ -214,7 +215,7 @@ class Block:
 
 def search(index: Index, queries: DataFrame, k: int = NEAREST, share: float | None = None, votes: int = VOTES) -> DataFrame:
     """query_id, rank, vec_id, score of the k best candidates of each query, nearest first,
-    ties to the smaller vec_id.
+    ties to the smaller vec_id. A query is compared with the rows of its own width.
 
     A query's own row, and any other with its vec_id, is no candidate of it. Of queries that
     share a vec_id one asks. Repeated rows of the index are each found. A query with fewer
@@ -246,30 +247,33 @@ def search(index: Index, queries: DataFrame, k: int = NEAREST, share: float | No
                 counts = np.where(first, met[best[0]], 0)
                 yield record_batch({"query_id": asked.ids[best[0]], "vec_id": best[1], "score": best[2], "met": counts}, FOUND)
 
-        return map_batches(index.rows, run, FOUND)
+        return map_batches(index.rows.filter(F.size("embedding") == len(vectors[0])), run, FOUND)
 
     def answered(ids: list[int], vectors: list[list[float]]) -> DataFrame:
         found = written(pass_over(ids, vectors))
         # one row at most for each query of the block
         met = {r["query_id"]: r["met"] for r in found.groupBy("query_id").agg(F.sum("met").alias("met")).toLocalIterator()}
         few = [i for i, q in enumerate(ids) if met.get(q, 0) < FEW * k]
-        if not few or all(n <= WHOLE for n, _ in index.bands.values()):  # all rows were candidates
+        if not few or all(n <= WHOLE for n, _ in index.widths[len(vectors[0])].values()):  # all rows were candidates
             return found
         again = pass_over([ids[i] for i in few], [vectors[i] for i in few], whole=True)
         asked = spark.createDataFrame([(ids[i],) for i in few], "query_id long")
         return found.join(F.broadcast(asked), "query_id", "left_anti").unionByName(again)
 
-    ids, vectors = [], []
-    same = usable(queries).filter(F.size("embedding") == index.width)
-    for row in same.groupBy("vec_id").agg(F.min("embedding").alias("embedding")).toLocalIterator():
-        ids.append(row["vec_id"])
-        vectors.append(row["embedding"])
-        if len(ids) == BLOCK_QUERIES:
+    asking = written(usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding")))
+    for width in sorted(index.widths):
+        ids, vectors = [], []
+        for row in asking.filter(F.size("embedding") == width).toLocalIterator():
+            ids.append(row["vec_id"])
+            vectors.append(row["embedding"])
+            if len(ids) == BLOCK_QUERIES:
+                found = answered(ids, vectors)
+                out, ids, vectors = found if out is None else out.unionByName(found), [], []
+        if ids:
             found = answered(ids, vectors)
-            out, ids, vectors = found if out is None else out.unionByName(found), [], []
-    if ids or out is None:
-        found = answered(ids, vectors) if ids else spark.createDataFrame([], FOUND)
-        out = found if out is None else out.unionByName(found)
+            out = found if out is None else out.unionByName(found)
+    if out is None:
+        out = spark.createDataFrame([], FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return out.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
