@@ -26,6 +26,12 @@ def _own(docs: DataFrame, **changed) -> list:
     return [changed.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns]
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Documents as _row, beside doc_id and text, with a _key of their own: rows that share a
+    doc_id, or have none, may differ in text."""
+    return docs.select(_row(docs), F.xxhash64("doc_id", "text").alias("_key"), "doc_id", "text")
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps documents with a language; where lang is null it becomes the one found."""
     found = langid.with_language(docs.select(_row(docs), "text"), langid.train(docs))
@@ -34,19 +40,24 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group, that with the smallest doc_id, and one row of each
-    doc_id; rows without doc_id stay."""
-    kept = neardups.near_duplicates(docs).filter("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.filter("doc_id is null")).select(docs.columns)
+    """Keeps one document of each group, that with the smallest doc_id, and one of rows equal
+    in doc_id and text; rows without doc_id stay."""
+    keyed = _keyed(docs).filter("doc_id is not null")
+    groups = neardups.near_duplicates(keyed.select(F.col("_key").alias("doc_id"), "text"))
+    groups = groups.select(F.col("doc_id").alias("_key"), "component_id").distinct()
+    first = F.min(F.struct("doc_id", "_key")).alias("first")
+    kept = groups.join(keyed.select("_key", "doc_id"), "_key").groupBy("component_id").agg(first).select("first._key")
+    one = keyed.join(kept, "_key", "left_semi").dropDuplicates(["_key"]).select(_own(docs))
+    return one.unionByName(docs.filter("doc_id is null"))
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents with any window of a benchmark item."""
     benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontaminate.contamination(docs, benchmark).filter("contaminated").select("doc_id").distinct()
-    same = F.col("d.doc_id").eqNullSafe(F.col("found.doc_id"))
-    return docs.alias("d").join(found.alias("found"), same, "left_anti").select(docs.columns)
+    keyed = _keyed(docs)
+    found = decontaminate.contamination(keyed.select(F.col("_key").alias("doc_id"), "text"), benchmark)
+    found = found.filter("contaminated").select(F.col("doc_id").alias("_key")).distinct()
+    return keyed.join(found, "_key", "left_anti").select(_own(docs))
 
 
 def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

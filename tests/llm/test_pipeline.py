@@ -84,3 +84,19 @@ def test_columns_of_any_name_stay(spark):
 
 def test_run(spark):
     assert corpus_pipeline.run(spark, SF).count() > 100
+
+
+def test_rows_that_share_a_doc_id_or_have_none(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    texts = [" ".join(f"{w}{i}" for i in range(30)) for w in "abcd"]
+    rows = [(1, texts[0]), (1, texts[0]), (1, texts[1]), (2, texts[0]), (3, texts[2]), (4, texts[1]), (None, texts[0]), (None, texts[3])]
+    given = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], docs.schema)
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicates(spark, given, SF).collect()), key=str)
+    assert got == sorted([(1, texts[0]), (1, texts[1]), (3, texts[2]), (None, texts[0]), (None, texts[3])], key=str)
+
+    items = [r["text"] for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()]
+    bad = max(items, key=lambda t: len(t.split()))
+    rows = [(None, bad), (None, texts[0]), (5, bad), (5, texts[1]), (6, texts[2])]
+    given = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], docs.schema)
+    got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.decontaminated(spark, given, SF).collect()), key=str)
+    assert got == sorted([(None, texts[0]), (5, texts[1]), (6, texts[2])], key=str)
