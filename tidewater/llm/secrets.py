@@ -29,7 +29,8 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN_CHARS = 12
 
 #: A token that the models judge, and the least log-likelihood ratio of a secret.
-TOKEN, LEAST_RATIO = r"[A-Za-z0-9+/_-]{20,}", 15.0
+TOKEN_CHARS, LEAST_RATIO = 20, 15.0
+TOKEN = rf"[A-Za-z0-9+/_-]{{{TOKEN_CHARS},}}"
 #: Random strings, and about as many documents, that the models are trained on.
 TRAIN_STRINGS, TRAIN_DOCS = 4_000, 300
 #: Weight of the frequency of a character alone, in counts, beside its transitions.
@@ -133,19 +134,36 @@ def ratio(token: Column, model: list[float]) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def left(token: Column, base: Column) -> Column:
+    """The pieces of a token's span outside the base spans that are long enough to be judged."""
+    over = F.filter(base, lambda b: (b["start"] < token["end"]) & (token["start"] < b["end"]))
+    start = F.struct(token["start"].alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+
+    def piece(at: Column, end: Column) -> Column:
+        span = F.struct(at.alias("start"), token["kind"].alias("kind"), end.alias("end"))
+        return F.when(end - at >= TOKEN_CHARS, F.array(span)).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+    def step(acc: Column, b: Column) -> Column:
+        out = F.concat(acc["out"], piece(acc["at"], b["start"]))
+        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), out.alias("out"))
+
+    return F.aggregate(over, start, step, lambda acc: F.concat(acc["out"], piece(acc["at"], token["end"])))
+
+
 def scan(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
     """Adds base and spans, arrays of (start, kind, end) by start and then kind, to the rows,
     in place of columns of these names.
 
-    The models' spans are tokens of 20 characters or more, with a ratio of at least
-    LEAST_RATIO, that overlap no base span. A null text is empty and has no spans.
+    The models' spans are tokens of 20 characters or more, or what base spans leave of them in
+    pieces of as many, with a ratio of at least LEAST_RATIO. A null text is empty and has no
+    spans.
     """
     model = model or train(labelled(docs))
     text = F.coalesce("text", F.lit(""))
     rows = docs.withColumn("_text", text).withColumn("base", base_spans(F.col("_text")))
-    clear = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
     judged = lambda s: ratio(F.substring(F.col("_text"), s["start"] + 1, s["end"] - s["start"]), model) >= LEAST_RATIO
-    more = F.filter(F.filter(spans(F.col("_text"), TOKEN, 3), clear), judged)
+    pieces = F.flatten(F.transform(spans(F.col("_text"), TOKEN, 3), lambda s: left(s, F.col("base"))))
+    more = F.filter(pieces, judged)
     return rows.withColumn("spans", F.array_sort(F.concat("base", more))).drop("_text")
 
 
