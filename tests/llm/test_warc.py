@@ -5,6 +5,7 @@ import io
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from tidewater.llm import warc as W
 
@@ -45,6 +46,18 @@ def test_splits_own_each_record_once_despite_false_magic():
         assert got == raw
 
 
+def test_a_task_for_each_split(spark):
+    rng = random.Random(8)
+    rows = [(i, f"u{i}", rng.randbytes(300).hex()) for i in range(400)]
+    files = W.write(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2))
+    split = 4096
+    splits = sum(-(-r["size"] // split) for r in files.collect())
+    got = W.read(files, split)
+    assert got.count() == 400 and splits > 20
+    used = got.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert got.rdd.getNumPartitions() == splits and used >= 0.9 * splits
+
+
 def test_least_bytes(spark):
     pages = spark.createDataFrame([(1, "a", "xy"), (2, "b", "xy"), (3, "c", "long one"), (4, "d", "long one")], "page_id long, url string, html string")
     got = {r["page_id"]: r["refers_to"] for r in W.read(W.write(pages, least_bytes=5)).collect()}

@@ -180,7 +180,9 @@ def read(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     A response whose payload doesn't have its digest and its length raises an error.
     """
     cuts = F.explode(F.sequence(F.lit(0), F.greatest(F.col("size") - 1, F.lit(0)), F.lit(split_bytes).cast("long")))
-    splits = files.select("path", "size", cuts.alias("start")).repartition("path", "start")
+    # a task each: the rows are tiny, and adaptive execution would merge them into one
+    n = files.agg(F.sum(F.ceil(F.greatest("size", F.lit(1)) / split_bytes))).first()[0] or 1
+    splits = files.select("path", "size", cuts.alias("start")).repartitionByRange(int(n), "path", "start")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split(" ")[0] for x in RECORDS.split(", ")]
