@@ -38,3 +38,18 @@ def test_batches_are_small_and_empty_ones_are_skipped(spark):
     sizes = [r["n"] for r in common.arrow_map(spark.range(0, 3500, 1, 1), make, "n long").collect()]
     assert sum(sizes) == 3500 and max(sizes) <= common.BATCH_ROWS
     assert common.arrow_map(spark.range(0), make, "n long").count() == 0
+
+
+def test_settings_hold_whatever_was_called_before(spark):
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")
+    spark.conf.unset("parquet.block.size")
+    common.small_batches(spark.range(1))
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "100"
+    for key, most in common.SETTINGS.items():
+        assert 0 < int(spark.conf.get(key)) <= most
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(common.BATCH_ROWS))
+
+
+def test_a_cluster_needs_a_shared_folder():
+    assert common.ONE_PROCESS.match("local[8]") and common.ONE_PROCESS.match("local")
+    assert not any(common.ONE_PROCESS.match(x) for x in ("local-cluster[3,2,1024]", "yarn", "spark://h:7077"))

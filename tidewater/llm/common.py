@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import ctypes
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -17,6 +18,10 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 
+#: Masters whose executors are the driver's own process.
+ONE_PROCESS = re.compile(r"local(\[|$)")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """The named columns of a table; whatever else the table holds is never read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet").select(*columns)
@@ -25,12 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder that driver and executors share.
 
-    It lies in the folder that spark.checkpoint.dir names. Where that is unset, as in
-    tests on one machine, a temporary folder is set for the session. The folder goes
-    when the driver ends.
+    It lies in the folder that spark.checkpoint.dir names. Where that is unset and Spark runs
+    in one process, as in tests, a temporary folder is set for the session; on a cluster it's
+    an error. The folder goes when the driver ends.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not ONE_PROCESS.match(spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidewater-")
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/tidewater-{uuid.uuid4().hex}"
@@ -56,7 +63,7 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
 
 
 #: Rows and bytes of an Arrow batch: texts can be long, and a batch is held several times over.
-BATCH_ROWS, BATCH_BYTES = 1_000, "16m"
+BATCH_ROWS, BATCH_BYTES = 1_000, 16 << 20
 
 
 def ship(spark: SparkSession) -> None:
@@ -72,21 +79,28 @@ def ship(spark: SparkSession) -> None:
     context._tidewater_shipped = True
 
 
-#: Rows that the Parquet reader decodes at a time, and bytes of a row group that it writes.
-READER_ROWS, ROW_GROUP_BYTES = 512, 32 << 20
+#: What small_batches() sets, where a session has none or a greater number: rows and bytes of
+#: an Arrow batch, rows that the Parquet reader decodes at a time, bytes of a written row group.
+SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "spark.sql.execution.arrow.maxBytesPerBatch": BATCH_BYTES,
+    "spark.sql.parquet.columnarReaderBatchSize": 512, "parquet.block.size": 32 << 20,
+}
 
 
 def small_batches(df: DataFrame) -> DataFrame:
-    """Prepares a session for Python on executors: they get this package, batches of at most
-    BATCH_ROWS rows and about BATCH_BYTES, and small buffers of the Parquet reader and writer,
-    which would otherwise hold a row group of whole texts for each task."""
+    """Prepares a session for Python on executors: they get this package, small batches, and
+    small buffers of the Parquet reader and writer, which would otherwise hold a row group of
+    whole texts for each task.
+
+    Plans read these settings when they run, which may be long after they are made, so they
+    stay set for the session. Each is judged by itself, whatever was called before.
+    """
     ship(df.sparkSession)
-    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(conf.get(key)) <= BATCH_ROWS:
-        conf.set(key, str(BATCH_ROWS))
-        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-        conf.set("spark.sql.parquet.columnarReaderBatchSize", str(READER_ROWS))
-        conf.set("parquet.block.size", str(ROW_GROUP_BYTES))
+    conf = df.sparkSession.conf
+    for key, most in SETTINGS.items():
+        held = conf.get(key, None)
+        if not held or not held.isdigit() or not 0 < int(held) <= most:
+            conf.set(key, str(most))
     return df
 
 
