@@ -1,8 +1,10 @@
 import itertools
 import math
 import zlib
+from collections import Counter
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -60,6 +62,84 @@ def test_expected_counts_sum_to_the_letters():
     assert abs((into[tree.ends][:, 0] * sizes).sum() - 3 * 5) < 1e-3
 
 
+def test_expected_counts_by_hand():
+    """One word's expected counts against all its segmentations."""
+    tree = L.Tree(PIECES)
+    by_node = np.zeros((tree.nodes, 1))
+    by_node[tree.ends] = np.random.default_rng(2).dirichlet(np.ones(len(PIECES)))[:, None]
+    known = dict(zip(PIECES, by_node[tree.ends][:, 0]))
+    text = L.START + "abab"
+    total, want = 0.0, Counter()
+    for cuts in itertools.product([0, 1], repeat=len(text) - 1):
+        parts = "".join(c + "|" * cut for c, cut in zip(text, (*cuts, 0), strict=True)).split("|")
+        # a letter may be a piece or a letter alone, which is no piece
+        for alone in itertools.product(*[[False, True] if len(p) == 1 else [False] for p in parts]):
+            chance = math.prod(L.LETTER if a else known.get(p, 0.0) for p, a in zip(parts, alone))
+            total += chance
+            for p, a in zip(parts, alone):
+                if not a:
+                    want[p] += chance
+    into = np.zeros_like(by_node)
+    tree.expected(tree.matrix(["abab"]), by_node, np.array([[2.0]]), into)
+    for p, got in zip(PIECES, into[tree.ends][:, 0]):
+        assert abs(got - 2 * want[p] / total) < 1e-9
+
+
+def test_long_runs_are_taken_in_stretches_and_train():
+    run = "ab" * 500
+    assert "".join(L.words(run)) == run and {len(w) for w in L.words(run)} == {L.STRETCH}
+    tree = L.Tree(PIECES)
+    by_node = np.zeros((tree.nodes, 1))
+    by_node[tree.ends] = 1 / len(PIECES)
+    into = np.zeros_like(by_node)
+    tree.expected(tree.matrix(["q" * L.STRETCH, "ab" * (L.STRETCH // 2)]), by_node, np.array([[1.0], [1.0]]), into)
+    assert np.isfinite(into).all() and into.sum() > 10
+
+
+def by_rounds(rows, pieces):
+    """Training in one process, a word at a time."""
+    languages = sorted({lang for lang, _ in rows})
+    count = {g: Counter(w for lang, t in set(rows) if lang == g for w in L.words(t)) for g in languages}
+    tree = L.Tree(pieces)
+    chance = np.full((len(pieces), len(languages)), 1 / len(pieces))
+    for _ in range(L.ROUNDS):
+        by_node = np.zeros((tree.nodes, len(languages)))
+        by_node[tree.ends] = chance
+        into = np.zeros_like(by_node)
+        for g, lang in enumerate(languages):
+            for w, n in count[lang].items():
+                one = np.zeros((1, len(languages)))
+                one[0, g] = n
+                tree.expected(tree.matrix([w]), by_node, one, into)
+        got = into[tree.ends] + L.SMOOTHING
+        chance = got / got.sum(axis=0)
+    return chance
+
+
+def test_training_and_prediction_against_one_process(spark):
+    rows = [("xx", "abba baba cab"), ("yy", "bab bab acca"), ("xx", "a b c"), ("yy", "cabba bab"), ("yy", "cabba bab")]
+    docs = spark.createDataFrame([(i if zlib.crc32(str(i).encode()) % 5 else i + 1000, g, t) for i, (g, t) in enumerate(rows)], "doc_id long, lang string, text string")
+    docs = docs.filter(~L.held_out())
+    kept = [(r["lang"], r["text"]) for r in docs.collect()]
+    model = L.train(docs.repartition(3))
+    assert np.allclose(model.chance, by_rounds(kept, model.vocabulary), rtol=1e-6)
+    text = "babab cab a"
+    tree = L.Tree(model.vocabulary)
+    by_node = np.zeros((tree.nodes, 2))
+    by_node[tree.ends] = model.chance
+    sums = sum(tree.forward(tree.matrix([w]), by_node)[0] for w in L.words(text))
+    want = np.exp(sums - sums.max()) / np.exp(sums - sums.max()).sum()
+    got = L.identify(spark.createDataFrame([(1, text)], "doc_id long, text string"), model).first()
+    assert got["lang_pred"] == model.languages[int(want.argmax())] and abs(got["score"] - want.max()) < 1e-9
+
+
+def test_too_many_languages_are_an_error(spark, monkeypatch):
+    monkeypatch.setattr(L, "MOST_LANGUAGES", 3)
+    docs = spark.createDataFrame([(i, f"l{i}", "some text") for i in range(30)], "doc_id long, lang string, text string")
+    with pytest.raises(ValueError, match="more than 3"):
+        L.train(docs)
+
+
 def test_held_out_accuracy(spark):
     rows = L.op2_language_id(spark, "/root/testdata/sf0.01").collect()
     docs = {r["doc_id"]: r for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}

@@ -3,9 +3,11 @@
 A language is a probability for each piece of a fixed public vocabulary. A word's probability
 is the sum over all ways to write it in pieces, found by a forward pass over its letters, and
 a text's is the product over its words. The piece probabilities are trained by expectation
-maximisation over the same sums, forward and backward, from the word counts of a bounded
-sample of labelled documents. Words of one length go through the passes together, for all
-languages at once, and their sums are kept, as words repeat.
+maximisation over the same sums, forward and backward, from all words of a bounded sample of
+labelled documents: executors hold the words and send expected counts by piece. Words of one
+length go through the passes together, for all languages at once, and their sums are kept, as
+words repeat. A run of more letters than STRETCH, as of a script without spaces, is taken in
+stretches of so many, in training and in scoring alike.
 """
 
 from __future__ import annotations
@@ -20,12 +22,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewater.llm.common import arrow_map, map_batches, table
+from tidewater.llm.common import arrow_map, map_batches, record_batch, table, written
 from tidewater.llm.packing import vocabulary_path
 
-#: Labelled documents that each language learns from, about; and the words, those with the
-#: highest frequency in their language, of all languages together.
-TRAIN_DOCS, TRAIN_WORDS = 1_500, 80_000
+#: Labelled documents that each language learns from, about, copies counted once.
+TRAIN_DOCS = 1_500
+#: The most values of lang: a model is a number for each piece and language, at most 64 MB.
+MOST_LANGUAGES = 256
+#: Letters of a word, at most: one letter's least probability to this power is still a number.
+STRETCH = 40
 ROUNDS = 4
 #: Count that each piece has beside what is seen, and the probability of any single letter
 #: beside the pieces, which stands for letters that the vocabulary lacks.
@@ -39,12 +44,12 @@ BLOCK_TEXTS = 250
 #: Entries up to which the pieces' tree is an array by node and letter.
 DENSE = 1 << 23
 
-WORD = re.compile(r"[^\W\d_]+")
+WORD = re.compile(rf"[^\W\d_]{{1,{STRETCH}}}")
 START = "▁"
 
 
 def words(text: str | None) -> list[str]:
-    """Runs of letters in lower case; none if the text has no letter."""
+    """Runs of letters in lower case, in stretches; none if the text has no letter."""
     found = WORD.findall(text.lower()) if text else []
     return found if any(c.isalpha() for w in found for c in w) else []
 
@@ -166,6 +171,10 @@ class Model:
     def scorer(self) -> Scorer:
         return Scorer(self)
 
+    def broadcast(self, df: DataFrame):
+        """To all tasks: pieces by languages, whatever the corpus."""
+        return df.sparkSession.sparkContext.broadcast(self)
+
 
 class Scorer:
     """Scores texts; a worker builds it once a task."""
@@ -230,21 +239,21 @@ def held_out():
 
 def sample(docs: DataFrame) -> DataFrame:
     """(lang, text) of about TRAIN_DOCS labelled documents a language, outside the held-out
-    fold: a share of each language by a hash of doc_id, so that no language is sorted."""
+    fold: an evenly hashed share of each language, so that none is sorted, and of equal texts
+    one, so that a large group of copies is no large sample."""
     known = docs.filter(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out())
-    counts = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if not counts:
-        return known.select("lang", "text")
-    share = F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(1.0, TRAIN_DOCS / n))])
-    even = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    return known.filter(even < share[F.col("lang")]).select("lang", "text")
-
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).take(MOST_LANGUAGES + 1)
+    if len(counts) > MOST_LANGUAGES:
+        raise ValueError(f"lang has more than {MOST_LANGUAGES} values")
+    shares = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, TRAIN_DOCS / r["n"])) for r in counts], "lang string, share double")
+    even = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    picked = known.select("lang", "text", even.alias("even")).join(F.broadcast(shares), "lang").filter("even < share")
+    return picked.groupBy("lang", F.xxhash64("text")).agg(F.min("text").alias("text")).select("lang", "text")
 
-def train(docs: DataFrame, vocabulary: str | None = None) -> Model:
-    """Learns a model from the labelled documents (doc_id, lang, text).
 
-    The driver sees TRAIN_WORDS words with their counts, and a count for each language.
-    """
+def counted(docs: DataFrame) -> DataFrame:
+    """(word, counts) of all words of the documents (lang, text), where counts is an array of
+    (lang, n) with an entry for each language of the word."""
 
     def make():
         def fn(batch: pa.RecordBatch) -> dict:
@@ -255,41 +264,62 @@ def train(docs: DataFrame, vocabulary: str | None = None) -> Model:
 
         return fn
 
-    seen = arrow_map(sample(docs), make, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
-    total = {r["lang"]: r["n"] for r in seen.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
-    languages = sorted(total)
+    seen = arrow_map(docs, make, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    return seen.groupBy("word").agg(F.collect_list(F.struct("lang", "n")).alias("counts"))
+
+
+def expectations(seen: DataFrame, model: Model) -> DataFrame:
+    """(piece, language, n): the expected count of each piece, both by their numbers."""
+    held = model.broadcast(seen)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = held.value.scorer()
+        number = {k: i for i, k in enumerate(scorer.languages)}
+        into = np.zeros_like(scorer.chance)
+        for batch in batches:
+            by_length: dict[int, list[tuple[str, list]]] = defaultdict(list)
+            for word, counts in zip(batch["word"].to_pylist(), batch["counts"].to_pylist(), strict=True):
+                by_length[len(word)].append((word, counts))
+            for same in by_length.values():
+                count = np.zeros((len(same), len(number)))
+                for i, (_, counts) in enumerate(same):
+                    for c in counts:
+                        count[i, number[c["lang"]]] = c["n"]
+                scorer.tree.expected(scorer.tree.matrix([w for w, _ in same]), scorer.chance, count, into)
+        got = into[scorer.tree.ends]
+        piece, language = np.nonzero(got)
+        yield record_batch({"piece": piece, "language": language, "n": got[piece, language]}, "piece int, language int, n double")
+
+    parts = map_batches(seen, run, "piece int, language int, n double")
+    return parts.groupBy("piece", "language").agg(F.round(F.sum("n"), 9).alias("n"))
+
+
+def train(docs: DataFrame, vocabulary: str | None = None) -> Model:
+    """Learns a model from the labelled documents (doc_id, lang, text).
+
+    The driver sees the letters, the languages and, in each round, a number for each piece and
+    language; MOST_LANGUAGES bounds them.
+    """
+    seen = written(counted(sample(docs)))
+    languages = sorted(r[0] for r in seen.select(F.explode("counts.lang").alias("lang")).distinct().collect())
     every = pieces(vocabulary or vocabulary_path("piece_bpe_32k.model"))
     if not languages:
         return Model([], every, np.zeros((len(every), 0)))
-    often = F.col("n") / F.create_map(*[F.lit(x) for k, n in total.items() for x in (k, float(n))])[F.col("lang")]
-    rows = seen.orderBy(often.desc(), "lang", "word").limit(TRAIN_WORDS).collect()
-    seen_letters = {c for r in rows for c in r["word"]} | {START}
-    every = [p for p in every if seen_letters.issuperset(p)]  # no other piece has a count
-    tree = Tree(every)
-    count: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(languages)))
-    for r in rows:
-        count[r["word"]][languages.index(r["lang"])] = r["n"]
-    by_length: dict[int, list[str]] = defaultdict(list)
-    for w in count:
-        if len(w) <= 30:  # longer ones would need scaling, and tell little
-            by_length[len(w)].append(w)
-    chance = np.zeros((tree.nodes, len(languages)))
-    chance[tree.ends] = 1 / len(every)
+    letters = {r[0] for r in seen.select(F.explode(F.split("word", "")).alias("c")).distinct().collect()} | {START}
+    every = [p for p in every if letters.issuperset(p)]  # no other piece has a count
+    model = Model(languages, every, np.full((len(every), len(languages)), 1 / len(every)))
     for _ in range(ROUNDS):
-        into = np.zeros_like(chance)
-        for same in by_length.values():
-            for i in range(0, len(same), BLOCK_WORDS):
-                part = same[i : i + BLOCK_WORDS]
-                tree.expected(tree.matrix(part), chance, np.array([count[w] for w in part]), into)
-        got = into[tree.ends] + SMOOTHING
-        chance[tree.ends] = got / got.sum(axis=0)
-    return Model(languages, every, chance[tree.ends])
+        got = np.full(model.chance.shape, SMOOTHING)
+        for r in expectations(seen, model).toLocalIterator():
+            got[r["piece"], r["language"]] += r["n"]
+        model = Model(languages, every, got / got.sum(axis=0))
+    return model
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
     """(doc_id, lang_pred, score) of every document. Null texts and texts without a letter
     are und with score 0, as is everything where no language was learned."""
-    held = docs.sparkSession.sparkContext.broadcast(model)  # pieces by languages, whatever the corpus
+    held = model.broadcast(docs)
 
     def make():
         scorer = held.value.scorer()
@@ -305,7 +335,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def with_language(docs: DataFrame, model: Model) -> DataFrame:
     """The documents with lang_pred and lang_score beside their own columns."""
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held = model.broadcast(docs)
     own = docs.select([F.col(f"`{c}`") for c in docs.columns if c not in ("lang_pred", "lang_score")])
     schema = T.StructType([*own.schema, T.StructField("lang_pred", T.StringType()), T.StructField("lang_score", T.DoubleType())])
 
