@@ -46,5 +46,24 @@ def test_many_ranges(spark, monkeypatch):
     assert [r["start"] for r in out[1:]] == np.cumsum([r["n_tokens"] for r in out])[:-1].tolist()
 
 
+def test_a_hot_doc_id_lies_in_many_ranges(spark, monkeypatch):
+    monkeypatch.setattr(K, "RANGE_DOCS", 20)
+    monkeypatch.setattr(K, "BLOCK_IDS", 40)
+    docs = spark.range(600).selectExpr("case id % 3 when 0 then 7 when 1 then null else id end as doc_id", "if(id % 2 = 0, 'same', concat('w', id)) as text").repartition(4)
+    files = K.write(docs, vocabulary_path("word_bpe_49k.json"))
+    sizes = [r["n"] for r in files.groupBy("part").agg({"n_ids": "count"}).withColumnRenamed("count(n_ids)", "n").collect()]
+    assert len(sizes) >= 25 and files.groupBy("part").agg({"block": "max"}).agg({"max(block)": "max"}).first()[0] < 20
+    out = K.read(files).orderBy("start").collect()
+    known = [-(1 << 63) if r["doc_id"] is None else r["doc_id"] for r in out]
+    assert known == sorted(known) and len(known) == 600
+    assert [r["start"] for r in out] == [0, *np.cumsum([r["n_tokens"] for r in out])[:-1].tolist()]
+
+
+def test_long_text(spark):
+    text = "word and another " * 120_000
+    out = K.read(K.write(spark.createDataFrame([(2, "a"), (1, text)], "doc_id long, text string"), vocabulary_path("word_bpe_49k.json"))).orderBy("start").collect()
+    assert [r["doc_id"] for r in out] == [1, 2] and out[0]["n_tokens"] > K.BLOCK_IDS / 4
+
+
 def test_empty_table(spark):
     assert K.read(K.write(spark.createDataFrame([], "doc_id long, text string"), vocabulary_path("word_bpe_49k.json"))).count() == 0

@@ -16,7 +16,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.llm.common import arrow_map, map_batches, record_batch, table, written
@@ -24,9 +24,8 @@ from tidewater.llm.packing import vocabulary_path
 from tidewater.llm.wordcodec import codec
 
 CHUNK_BITS, DIRECTORY_BITS = 8, 512
-#: Documents in a range of ids, about, and the most ranges, whose edges are literals of the
-#: plan; a range is written as one or more blocks.
-RANGE_DOCS, MOST_RANGES = 4_000, 4_096
+#: Documents in a range of ids, about; a range is written by one task, as one or more blocks.
+RANGE_DOCS = 16_000
 #: Ids after which a block ends, at the end of a document.
 BLOCK_IDS = 1 << 20
 
@@ -94,9 +93,36 @@ class Block:
         return out
 
 
-def encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
-    """(doc_id, ids): each text's ids and then end_id, as little-endian 16-bit numbers where
-    all of them fit, else 32-bit ones (wide)."""
+def placed() -> tuple[Column, Column]:
+    """What rows are ordered by: doc_id, a null one before all others, and a random number, as
+    one doc_id, or none, may stand in a third of all rows."""
+    return F.coalesce("doc_id", F.lit(-(1 << 63))).alias("known"), (F.rand(5) * (1 << 31)).cast("long").alias("salt")
+
+
+def edges(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """doc_id and salt at which each range but the first begins: 16 bytes for RANGE_DOCS
+    documents. Only doc_id is read."""
+    parts = max(1, docs.count() // RANGE_DOCS)
+    if parts == 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keys = docs.select(*placed()).repartitionByRange(parts, "known", "salt")
+    least = keys.groupBy(F.spark_partition_id().alias("part")).agg(F.min(F.struct("known", "salt")).alias("least"))
+    got = sorted((r["least"]["known"], r["least"]["salt"]) for r in least.collect())[1:]
+    return np.array([d for d, _ in got], np.int64), np.array([s for _, s in got], np.int64)
+
+
+def part_of(doc: np.ndarray, salt: np.ndarray, at: np.ndarray, salts: np.ndarray) -> np.ndarray:
+    """The range of each document: the number of edges not above it."""
+    part, last = np.searchsorted(at, doc, "left"), np.searchsorted(at, doc, "right")
+    for i in np.flatnonzero(part < last):
+        part[i] += np.searchsorted(salts[part[i] : last[i]], salt[i], "right")
+    return part
+
+
+def encoded(docs: DataFrame, vocabulary: str, end_id: int, ranges: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+    """(part, doc_id, salt, wide, ids): each text's range, and its ids and then end_id as
+    little-endian 16-bit numbers where all of them fit, else 32-bit ones (wide)."""
+    held = docs.sparkSession.sparkContext.broadcast(ranges)
 
     def make():
         words = codec(vocabulary, True)
@@ -105,26 +131,25 @@ def encoded(docs: DataFrame, vocabulary: str, end_id: int) -> DataFrame:
         def fn(batch: pa.RecordBatch) -> dict:
             ids = [np.frombuffer(x + end, "<u4") for x in words.encode(batch["text"].to_pylist())]
             wide = [bool(x.max() > 0xFFFF) for x in ids]
-            return {"doc_id": batch["doc_id"], "wide": wide, "ids": [x.astype("<u4" if w else "<u2").tobytes() for x, w in zip(ids, wide, strict=True)]}
+            part = part_of(batch["known"].to_numpy(), batch["salt"].to_numpy(), *held.value)
+            packed = [x.astype("<u4" if w else "<u2").tobytes() for x, w in zip(ids, wide, strict=True)]
+            return {"part": part, "doc_id": batch["doc_id"], "salt": batch["salt"], "wide": wide, "ids": packed}
 
         return fn
 
-    return arrow_map(docs.select("doc_id", "text"), make, "doc_id long, wide boolean, ids binary")
+    return arrow_map(docs.select("doc_id", *placed(), "text"), make, "part int, doc_id long, salt long, wide boolean, ids binary")
 
 
 def write(docs: DataFrame, vocabulary: str, end_id: int = 2, path: str | None = None) -> DataFrame:
     """Writes the ids of all documents in ascending doc_id order and returns the files.
 
-    Ranges of doc_id are quantiles of that column alone, which is cheap to read; texts are
-    encoded once and only ids are dealt out. Rows that share a doc_id follow one another in
-    the order of their ids, nulls in doc_id come first.
+    Ranges are found from doc_id alone, which is cheap to read; texts are encoded once and
+    only ids are dealt out. Rows that share a doc_id follow one another in any order, nulls in
+    doc_id come first; either may lie in several ranges.
     """
-    n = docs.count()
-    parts = min(MOST_RANGES, max(1, n // RANGE_DOCS))
-    edges = sorted(set(docs.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.2 / parts))) if parts > 1 else []
-    known = F.coalesce("doc_id", F.lit(-(1 << 63)))
-    rows = encoded(docs, vocabulary, end_id).withColumn("part", _part(known, edges))
-    rows = rows.repartitionById(len(edges) + 1, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "ids")
+    ranges = edges(docs)
+    rows = encoded(docs, vocabulary, end_id, ranges)
+    rows = rows.repartitionById(len(ranges[0]) + 1, "part").sortWithinPartitions("part", F.col("doc_id").asc_nulls_first(), "salt")
 
     def blocks(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, docs_, held, size, k = None, [], [], 0, 0
@@ -155,26 +180,14 @@ def write(docs: DataFrame, vocabulary: str, end_id: int = 2, path: str | None =
     return written(map_batches(rows.select("part", "doc_id", "wide", "ids"), blocks, FILES), path)
 
 
-def _part(known, edges: list[float]):
-    """Number of edges below the value, by halving."""
-    if not edges:
-        return F.lit(0)
-
-    def half(a: int, b: int):
-        if a == b:
-            return F.lit(a)
-        m = (a + b) // 2
-        return F.when(known <= F.lit(int(edges[m])), half(a, m)).otherwise(half(m + 1, b))
-
-    return half(0, len(edges))
-
-
 def read(files: DataFrame) -> DataFrame:
     """Each document as it stands in the files: its first place in the corpus, its number of
     ids, and their CRC. Ids are read by their places, document by document."""
-    order = Window.orderBy("part", "block").rowsBetween(Window.unboundedPreceding, -1)
-    # one row for each block of a million ids
-    bases = files.select("part", "block", "n_ids").withColumn("base", F.coalesce(F.sum("n_ids").over(order), F.lit(0))).drop("n_ids")
+    before = lambda window: F.coalesce(F.sum("n_ids").over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # places of the ranges, a row each in one task, and of the blocks in their range
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n_ids")).withColumn("first", before(Window.orderBy("part"))).drop("n_ids")
+    bases = files.select("part", "block", "n_ids").withColumn("own", before(Window.partitionBy("part").orderBy("block")))
+    bases = bases.join(parts, "part").select("part", "block", (F.col("first") + F.col("own")).alias("base"))
 
     def make():
         def fn(batch: pa.RecordBatch) -> dict:
