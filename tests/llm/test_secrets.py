@@ -85,3 +85,57 @@ def test_secrets_joined_to_base_spans(spark):
     found = [[r["text"][s["start"] : s["end"]] for s in r["spans"] if s["kind"] == 3] for r in rows]
     assert found == [["/wJalrXUtnFEMIqK7MDENGqbPxRfiCYzEXAMPLE"], [f"-{SECRET}"], [f"{SECRET}/", f"/{SECRET}"], [], []]
     assert SECRET not in "".join(r["out"] for r in rows)
+
+
+def held_out_names():
+    """Long names of the standard library, as they are and in camel case."""
+    import argparse, asyncio, email, http.client, inspect, logging, socket, ssl, unittest, urllib.request, xml.dom.minidom  # noqa: E401
+
+    found = set()
+    for module in (argparse, asyncio, email, http.client, inspect, logging, socket, ssl, unittest, urllib.request, xml.dom.minidom):
+        for name in dir(module):
+            found |= {name, *dir(getattr(module, name))}
+    parts = {n: n.strip("_").lower().split("_") for n in found}
+    found |= {"".join([p[0], *(x.capitalize() for x in p[1:])]) for p in parts.values()}
+    return sorted(n for n in found if len(n) >= S.TOKEN_CHARS and set(n) <= set(S.ALPHABET))
+
+
+def test_rates_on_held_out_strings(spark):
+    model = S.train(S.labelled(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
+    above = lambda df: df.select(F.avg((S.ratio(F.col("token"), model) >= S.LEAST_RATIO).cast("int"))).first()[0]
+    names = held_out_names()
+    assert len(names) > 500
+    assert above(spark.createDataFrame([(n,) for n in [*names, "getUserAccountBalanceByCurrency", "2024-01-02_10-30-45_backup"]], "token string")) < 0.01
+    strings = S.random_strings(spark, 10**6, 2000)
+    for size, least in ((20, 0.95), (24, 0.98), (32, 0.999)):
+        assert above(strings.select(F.substring("token", 1, size).alias("token"))) >= least
+
+
+def test_planted_random_strings_are_found(spark):
+    tokens = [r["token"][:32] for r in S.random_strings(spark, 2 * 10**6, 200).collect()]
+    rows = [(i, f"some words and {t} then, more words") for i, t in enumerate(tokens)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = S.scan(docs, S.train(S.labelled(corpus(spark).select("doc_id", "text")))).collect()
+    assert sum(any(r["text"][s["start"] : s["end"]] == tokens[r["doc_id"]] for s in r["spans"]) for r in got) >= 196
+
+
+def test_models_without_any_word_of_the_corpus(spark):
+    docs = spark.createDataFrame([(1, f"漢字 {SECRET}"), (2, None)], "doc_id long, text string")
+    got = {r["doc_id"]: len(r["spans"]) for r in S.scan(docs).collect()}
+    assert got == {1: 1, 2: 0}
+
+
+def test_a_sample_of_many_documents_is_not_empty():
+    for n in (10**8, 3 * 10**8, 10**12):
+        limit = int(min(1.0, S.TRAIN_DOCS / n) * 2**64) - 2**63
+        assert abs((limit + 2**63) / 2**64 * n - S.TRAIN_DOCS) < 1
+
+
+def test_texts_of_many_matches(spark):
+    texts = ["token=abcdefghijkl " * 9000, "0123456789abcdef! " * 9000, f"é {SECRET} " * 3000, "x" * 400_000, "secret=" * 20_000]
+    rows = S.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), S.train(S.labelled(corpus(spark)))).withColumn("out", S.redacted(F.col("text"), F.col("spans")))
+    for r in rows.collect():
+        assert [(s["start"], s["kind"], s["end"]) for s in r["base"]] == brute(r["text"])
+        if r["doc_id"] == 2:
+            assert [(s["start"], s["end"]) for s in r["spans"]] == [(2 + 35 * i, 34 + 35 * i) for i in range(3000)]
+            assert r["out"] == "é [SECRET] " * 3000

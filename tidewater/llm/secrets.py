@@ -4,10 +4,12 @@ Three patterns give the base spans. Beside them, two character Markov models, on
 strings and one of ordinary identifiers, are compared by the log-likelihood ratio of their
 transitions; long tokens that look far more random than like an identifier are added. The
 models are trained from labelled samples: strings of digests written in several alphabets
-against words of the corpus, single and put together as identifiers are.
+against words of the corpus and of programs, single and put together as identifiers are, and
+dates and numbers.
 
 A kind's matches come from one extraction and one split by the same pattern: the lengths of
-the pieces and of the matches add up to the places.
+the pieces and of the matches add up to the places. Sums go by blocks, so that a text of many
+matches takes not much more than its length.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 import json
 import math
 from collections import Counter
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,11 +31,21 @@ HEX = r"[0-9a-f]{16,}"
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN_CHARS = 12
 
-#: A token that the models judge, and the least log-likelihood ratio of a secret.
-TOKEN_CHARS, LEAST_RATIO = 20, 15.0
+#: A token that the models judge, and the least log-likelihood ratio of a secret: held-out
+#: names of programs stay below it, held-out random strings are above it (see the tests).
+TOKEN_CHARS, LEAST_RATIO = 20, 40.0
 TOKEN = rf"[A-Za-z0-9+/_-]{{{TOKEN_CHARS},}}"
 #: Random strings, and about as many documents, that the models are trained on.
-TRAIN_STRINGS, TRAIN_DOCS = 4_000, 300
+TRAIN_STRINGS, TRAIN_DOCS = 5_000, 300
+#: Words that names in programs are made of (fixed values); they are there whatever the corpus.
+NAMES = (
+    "get set is has add remove create delete update find load save read write open close start stop init config request response client server user "
+    "account name value index count total size list item key id type data file path url string number date time balance currency payment order by for from "
+    "to with of in on all default max min handler manager service factory builder provider context exception error test node tree map array object class "
+    "method field column table row query result message event queue cache session token buffer stream reader writer parser format version property"
+).split()
+#: Groups that the words are dealt to, where each one is joined with those after it.
+WORD_GROUPS = 32
 #: Weight of the frequency of a character alone, in counts, beside its transitions.
 BACKOFF = 5.0
 #: Characters that the models tell apart; all others are one more.
@@ -42,21 +55,54 @@ STATES = len(ALPHABET) + 1
 SPAN = "struct<start:int,kind:int,end:int>"
 
 
+NO_SPANS = f"array<{SPAN}>"
+#: Entries of a block of running().
+BLOCK = 64
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def running(entries: Column, merge: Callable[[Column, Column], Column]) -> Column:
+    """For each number of an array, the merge of 0 and of those before it, by blocks."""
+    total = lambda x, start: F.aggregate(x, start, merge)
+
+    def blocks(x: Column) -> Column:
+        last = ((F.size(x) - 1) / BLOCK).cast("int")  # 0 for an empty array too
+        return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(x, b * BLOCK + 1, BLOCK))
+
+    def whole(cut: Column, sums: Column) -> Column:
+        inside = lambda x, start: F.transform(x, lambda _, i: total(F.slice(x, F.lit(1), i), start))
+        return F.flatten(F.transform(cut, lambda x, b: let(total(F.slice(sums, F.lit(1), b), F.lit(0)), lambda start: inside(x, start))))
+
+    return let(entries, lambda x: let(blocks(x), lambda cut: let(F.transform(cut, lambda y: total(y, F.lit(0))), lambda sums: whole(cut, sums))))
+
+
 def spans(text: Column, pattern: str, kind: int) -> Column:
-    """Spans of all matches, leftmost and non-overlapping, in code points from 0."""
+    """Spans of all matches with their text (value), leftmost and non-overlapping, in code
+    points from 0."""
     pieces = F.transform(F.split(text, pattern, -1), F.length)
-    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), F.length)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(p.alias("piece"), F.length(m).alias("match"), m.alias("value")))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + x["piece"]
-        end = begin + x["match"]
-        span = F.struct(begin.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        return F.struct(end.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+    def placed(x: Column, at: Column) -> Column:
+        start = at + x["piece"]
+        return F.struct(start.alias("start"), F.lit(kind).alias("kind"), (start + x["match"]).alias("end"), x["value"].alias("value"))
 
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(found)), found, lambda p, m: F.struct(p.alias("piece"), m.alias("match")))
-    got = F.aggregate(pairs, start, step, lambda acc: acc["out"])
-    return F.when(text.rlike(pattern), got).otherwise(F.array().cast(f"array<{SPAN}>"))
+    sums = lambda p: running(F.transform(p, lambda x: x["piece"] + x["match"]), lambda a, b: a + b)
+    got = let(pairs, lambda p: F.zip_with(p, sums(p), placed))
+    return F.when(text.rlike(pattern), got).otherwise(F.array().cast("array<struct<start:int,kind:int,end:int,value:string>>"))
+
+
+def places(spans_: Column) -> Column:
+    return F.transform(spans_, lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end")))
+
+
+def assigned(match: Column) -> Column:
+    """Whether an assignment's value is long enough."""
+    return F.length(F.regexp_extract(match, ASSIGN, 1)) >= ASSIGN_CHARS
 
 
 def base_spans(text: Column) -> Column:
@@ -66,9 +112,26 @@ def base_spans(text: Column) -> Column:
     short value still takes up its text. The other two kinds are greedy runs, for which a
     length in the pattern comes to the same.
     """
-    value = lambda s: F.length(F.regexp_extract(F.substring(text, s["start"] + 1, s["end"] - s["start"]), ASSIGN, 1))
-    assign = F.filter(spans(text, ASSIGN, 0), lambda s: value(s) >= ASSIGN_CHARS)
-    return F.array_sort(F.concat(assign, spans(text, ACCESS, 1), spans(text, HEX, 2)))
+    assign = F.filter(spans(text, ASSIGN, 0), lambda s: assigned(s["value"]))
+    return F.array_sort(places(F.concat(assign, spans(text, ACCESS, 1), spans(text, HEX, 2))))
+
+
+def blanked(text: Column) -> Column:
+    """The text with what the three patterns match, one after another, as blanks."""
+
+    def without(pattern: str, taken: Callable[[Column], Column]) -> Callable[[Column], Column]:
+        def body(t: Column) -> Column:
+            blank = lambda m: F.when(taken(m), F.repeat(F.lit(" "), F.length(m))).otherwise(m)
+            found = F.concat(F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), blank), F.array(F.lit("")))
+            whole = F.array_join(F.zip_with(F.split(t, pattern, -1), found, lambda p, m: F.concat(p, m)), "")
+            return F.when(t.rlike(pattern), whole).otherwise(t)
+
+        return body
+
+    always = lambda m: F.lit(True)
+    for pattern, taken in ((ASSIGN, assigned), (ACCESS, always), (HEX, always)):
+        text = let(text, without(pattern, taken))
+    return text
 
 
 def states(token: Column) -> Column:
@@ -76,29 +139,51 @@ def states(token: Column) -> Column:
     return F.transform(F.split(token, ""), lambda c: F.position(c, F.lit(ALPHABET)))
 
 
-def labelled(docs: DataFrame) -> DataFrame:
-    """Training strings (random boolean, token): digests in four alphabets as random strings;
-    the words of a bounded, evenly hashed share of the documents, alone and joined with a mark, a
-    number or capitals, as identifiers. Words in base spans are left out."""
-    spark = docs.sparkSession
+def random_strings(spark: SparkSession, first: int = 0, n: int = TRAIN_STRINGS) -> DataFrame:
+    """Tokens of digests: in hexadecimal, in capitals and digits, in small letters and digits,
+    and twice in both."""
     digest = F.sha2(F.col("id").cast("string"), 256)
-    strings = spark.range(TRAIN_STRINGS).select(
-        F.when(F.col("id") % 4 == 0, digest)
-        .when(F.col("id") % 4 == 1, F.upper(F.regexp_replace(F.base64(F.unhex(digest)), "[+/=]", "")))
-        .otherwise(F.regexp_replace(F.base64(F.unhex(digest)), "=", ""))
-        .alias("token")
-    )
-    share = min(1.0, TRAIN_DOCS / max(1, docs.count()))
-    picked = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(share * 1_000_000))
-    clean = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), ASSIGN, " "), f"{ACCESS}|{HEX}", " ")
-    words = picked.select(F.explode(F.split(clean, r"[^A-Za-z0-9]+")).alias("w")).filter(F.col("w").rlike("^[A-Za-z]{3,19}$")).distinct()
+    text = F.base64(F.unhex(digest))
+    alike = F.regexp_replace(text, "[+/=]", "")
+    kind = F.col("id") % 5
+    token = F.when(kind == 0, digest).when(kind == 1, F.upper(alike)).when(kind == 2, F.lower(alike)).otherwise(F.regexp_replace(text, "=", ""))
+    return spark.range(first, first + n).select(token.alias("token"))
+
+
+def identifiers(words: DataFrame) -> DataFrame:
+    """Tokens of words (w, in small letters): alone, joined with the two to five words after it
+    in a group in the ways that names and paths are, and with numbers and dates.
+
+    The words must be few: a group's lie in one row.
+    """
+    names = words.sparkSession.createDataFrame([(x,) for x in NAMES], "w string")
+    own = words.select("w", F.pmod(F.xxhash64("w"), F.lit(WORD_GROUPS)).alias("group"))
+    shared = names.select("w", F.explode(F.sequence(F.lit(0), F.lit(WORD_GROUPS - 1))).alias("group"))
+    groups = own.unionByName(shared).distinct().groupBy("group").agg(F.array_sort(F.collect_list(F.struct(F.xxhash64("w", "group").alias("h"), "w"))).alias("x"))
+    several = lambda x, i: F.transform(F.slice(x, i + 1, F.lit(3) + F.pmod(x[i]["h"], F.lit(4)).cast("int")), lambda e: e["w"])
+    rows = groups.select(F.explode(F.transform("x", lambda e, i: F.struct(e["h"].alias("h"), several(F.col("x"), i).alias("p")))).alias("r"))
+    rows = rows.select("r.p", F.pmod("r.h", F.lit(100_000)).cast("string").alias("number"), F.date_add(F.lit("1990-01-01").cast("date"), F.pmod("r.h", F.lit(15_000)).cast("int")).alias("day"))
+    caps = F.transform("p", lambda w: F.initcap(w))
+    camel = F.concat(F.element_at("p", 1), F.array_join(F.slice(caps, 2, 9), ""))
     joined = F.array(
-        F.col("w"), F.lower("w"), F.concat(F.lower("w"), F.lit("_"), F.lower("w")),
-        F.concat(F.lower("w"), F.initcap("w")), F.concat(F.lower("w"), F.lit("-"), F.lower("w")), F.concat_ws("/", "w", F.lower("w")),
-        F.concat(F.lower("w"), F.pmod(F.xxhash64("w"), F.lit(100)).cast("string")),
+        F.element_at("p", 1), F.element_at(caps, 1), camel, F.array_join(caps, ""), F.concat(F.array_join(F.slice(caps, 1, 2), ""), "number"),
+        F.array_join("p", "_"), F.array_join("p", "-"), F.array_join("p", "/"), F.upper(F.array_join("p", "_")), F.concat(F.array_join("p", ""), F.lit("_"), "number"),
+        F.concat_ws("/", F.element_at("p", 1), "number", F.element_at("p", -1), F.substring("number", 2, 9)),
+        F.concat_ws("-", F.element_at("p", 1), F.date_format("day", "yyyy-MM-dd"), "number"), F.concat(F.date_format("day", "yyyyMMdd"), F.lit("_"), "number", F.lit("_"), F.element_at("p", 1)),
     )
-    identifiers = words.select(F.explode(joined).alias("token"))
-    return strings.select(F.lit(True).alias("random"), "token").unionByName(identifiers.select(F.lit(False).alias("random"), "token"))
+    return rows.select(F.explode(joined).alias("token"))
+
+
+def labelled(docs: DataFrame) -> DataFrame:
+    """Training strings (random boolean, token): digests as random strings; the words of NAMES
+    and of about TRAIN_DOCS documents, an evenly hashed share, as identifiers. Words in base
+    spans are left out."""
+    share = min(1.0, TRAIN_DOCS / max(1, docs.count()))
+    picked = docs.select("text") if share == 1 else docs.select("text").filter(F.xxhash64("text") < F.lit(int(share * 2**64) - 2**63))
+    words = picked.select(F.explode(F.split(blanked(F.coalesce("text", F.lit(""))), r"[^A-Za-z0-9]+")).alias("w")).filter(F.col("w").rlike("^[A-Za-z]{2,19}$"))
+    words = words.select(F.lower("w").alias("w")).distinct()
+    strings = random_strings(docs.sparkSession)
+    return strings.select(F.lit(True).alias("random"), "token").unionByName(identifiers(words).select(F.lit(False).alias("random"), "token"))
 
 
 def train(samples: DataFrame) -> list[float]:
@@ -134,22 +219,6 @@ def ratio(token: Column, model: list[float]) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def left(token: Column, base: Column) -> Column:
-    """The pieces of a token's span outside the base spans that are long enough to be judged."""
-    over = F.filter(base, lambda b: (b["start"] < token["end"]) & (token["start"] < b["end"]))
-    start = F.struct(token["start"].alias("at"), F.array().cast(f"array<{SPAN}>").alias("out"))
-
-    def piece(at: Column, end: Column) -> Column:
-        span = F.struct(at.alias("start"), token["kind"].alias("kind"), end.alias("end"))
-        return F.when(end - at >= TOKEN_CHARS, F.array(span)).otherwise(F.array().cast(f"array<{SPAN}>"))
-
-    def step(acc: Column, b: Column) -> Column:
-        out = F.concat(acc["out"], piece(acc["at"], b["start"]))
-        return F.struct(F.greatest(acc["at"], b["end"]).alias("at"), out.alias("out"))
-
-    return F.aggregate(over, start, step, lambda acc: F.concat(acc["out"], piece(acc["at"], token["end"])))
-
-
 def scan(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
     """Adds base and spans, arrays of (start, kind, end) by start and then kind, to the rows,
     in place of columns of these names.
@@ -161,9 +230,7 @@ def scan(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
     model = model or train(labelled(docs))
     text = F.coalesce("text", F.lit(""))
     rows = docs.withColumn("_text", text).withColumn("base", base_spans(F.col("_text")))
-    judged = lambda s: ratio(F.substring(F.col("_text"), s["start"] + 1, s["end"] - s["start"]), model) >= LEAST_RATIO
-    pieces = F.flatten(F.transform(spans(F.col("_text"), TOKEN, 3), lambda s: left(s, F.col("base"))))
-    more = F.filter(pieces, judged)
+    more = let(blanked(F.col("_text")), lambda t: places(F.filter(spans(t, TOKEN, 3), lambda s: ratio(s["value"], model) >= LEAST_RATIO)))
     return rows.withColumn("spans", F.array_sort(F.concat("base", more))).drop("_text")
 
 
@@ -176,18 +243,16 @@ def listed(spans_: Column) -> Column:
 
 def redacted(text: Column, spans_: Column, mark: str = "[SECRET]") -> Column:
     """The text with each run of overlapping spans replaced by a mark."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        kept = F.substring(text, acc["at"] + 1, F.greatest(s["start"] - acc["at"], F.lit(0)))
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(fresh, F.concat(acc["out"], kept, F.lit(mark))).otherwise(acc["out"]).alias("out"),
-        )
-
-    done = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.when(F.size(spans_) == 0, text).otherwise(F.aggregate(spans_, start, step, done))
+
+    def shown(s: Column, after: Column) -> Column:
+        kept = F.substring(text, after + 1, F.greatest(s["start"] - after, F.lit(0)))
+        return F.when(s["start"] >= after, F.concat(kept, F.lit(mark))).otherwise("")
+
+    def whole(ends: Column) -> Column:
+        pieces = F.zip_with(spans_, running(ends, lambda a, b: F.greatest(a, b)), shown)
+        return F.concat(F.array_join(pieces, ""), F.substring(text, F.array_max(ends) + 1, F.length(text)))
+
+    return F.when(F.size(spans_) == 0, text).otherwise(let(F.transform(spans_, lambda s: s["end"]), whole))
 
 
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
