@@ -39,6 +39,8 @@ SMOOTHING, LETTER = 0.01, 1e-7
 FOLDS = 5
 #: Words whose sums a worker keeps, and words that go through the passes together.
 KEEP_WORDS, BLOCK_WORDS = 200_000, 20_000
+#: Words times letters times languages of a block of training.
+BLOCK_NUMBERS = 400_000
 #: Texts whose new words are learned together.
 BLOCK_TEXTS = 250
 #: Entries up to which the pieces' tree is an array by node and letter.
@@ -152,14 +154,18 @@ class Tree:
         by_start: dict[int, list] = defaultdict(list)
         for i, size, rows, node in taken:
             by_start[i].append((size, rows, node))
+        nodes, flows = [], []
         for i in range(m - 1, -1, -1):
             back[i] += back[i + 1] * LETTER
             for size, rows, node in by_start[i]:
                 flow = chance[node] * back[i + size][rows]
                 back[i][rows] += flow
-                flow = flow * sums[i][rows]
-                for g in range(into.shape[1]):
-                    into[:, g] += np.bincount(node, flow[:, g], minlength=len(into))
+                nodes.append(node)
+                flows.append(flow * sums[i][rows])
+        if nodes:
+            node, flow = np.concatenate(nodes), np.concatenate(flows)
+            for g in range(into.shape[1]):
+                into[:, g] += np.bincount(node, flow[:, g], minlength=len(into))
 
 
 class Model:
@@ -276,16 +282,25 @@ def expectations(seen: DataFrame, model: Model) -> DataFrame:
         scorer = held.value.scorer()
         number = {k: i for i, k in enumerate(scorer.languages)}
         into = np.zeros_like(scorer.chance)
+        by_length: dict[int, list[tuple[str, list]]] = defaultdict(list)
+
+        def add(same: list[tuple[str, list]]) -> None:
+            count = np.zeros((len(same), len(number)))
+            for i, (_, counts) in enumerate(same):
+                for c in counts:
+                    count[i, number[c["lang"]]] = c["n"]
+            scorer.tree.expected(scorer.tree.matrix([w for w, _ in same]), scorer.chance, count, into)
+            same.clear()
+
         for batch in batches:
-            by_length: dict[int, list[tuple[str, list]]] = defaultdict(list)
             for word, counts in zip(batch["word"].to_pylist(), batch["counts"].to_pylist(), strict=True):
-                by_length[len(word)].append((word, counts))
-            for same in by_length.values():
-                count = np.zeros((len(same), len(number)))
-                for i, (_, counts) in enumerate(same):
-                    for c in counts:
-                        count[i, number[c["lang"]]] = c["n"]
-                scorer.tree.expected(scorer.tree.matrix([w for w, _ in same]), scorer.chance, count, into)
+                same = by_length[len(word)]
+                same.append((word, counts))
+                if len(same) * len(word) * len(number) >= BLOCK_NUMBERS:
+                    add(same)
+        for same in by_length.values():
+            if same:
+                add(same)
         got = into[scorer.tree.ends]
         piece, language = np.nonzero(got)
         yield record_batch({"piece": piece, "language": language, "n": got[piece, language]}, "piece int, language int, n double")
