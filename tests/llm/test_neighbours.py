@@ -60,7 +60,7 @@ def test_a_third_of_copies_and_ties(spark):
 def test_unusable_vectors_and_empty_tables(spark):
     rows = [(0, [1.0, 0.0]), (20, None), (40, [0.0, 0.0]), (60, [float("nan"), 1.0]), (80, [None, 1.0]), (100, [float("inf"), 1.0]), (7, [0.5, 0.5]), (7, [0.5, 0.5]), (120, [1.0, 0.0, 0.0])]
     vectors = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = results(N.search(N.build(vectors), vectors.filter("vec_id % 20 = 0"), share=1.0))
+    got = results(N.search(N.build(vectors), vectors.filter("vec_id % 20 = 0")))
     assert set(got) == {0} and [r[1] for r in got[0]] == [7, 7]
     assert N.build(spark.createDataFrame([], "vec_id long, embedding array<float>")) is None
 
@@ -121,3 +121,54 @@ def test_every_width_is_searched(spark):
     for ids, x in rows.values():
         for q, best in brute(ids, x, ids, 20).items():
             assert [v for _, v, _ in got[q]] == [v for _, v in best]
+
+
+def test_rotations_by_matrix_and_by_transform_agree(monkeypatch):
+    x = np.random.default_rng(7).normal(size=(40, 12))
+    one = N.Rotations(12, 5)
+    monkeypatch.setattr(N.Rotations, "NARROW", 0)
+    other = N.Rotations(12, 5)
+    assert other.matrix is None and np.allclose(one(x), other(x), atol=1e-4)
+    assert np.allclose((one(x) ** 2).sum(axis=2), (x**2).sum(axis=1)[:, None], rtol=1e-4)
+
+
+def test_candidates_are_the_rows_of_probed_buckets(monkeypatch):
+    """Lookup among sorted buckets against every row's bucket tried with every probe."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(500, 16))
+    x[::3] = x[0]
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    asked = x[:40] + rng.normal(size=(40, 16)) * 0.1
+    for listed in (N.LISTED, 0):
+        monkeypatch.setattr(N, "LISTED", listed)
+        band = N.Band(16, 0, 500, None, 0.9)
+        turn = band.rotations()
+        codes = turn.buckets(x)
+        want = np.zeros((40, 500), bool)
+        for t, query, bucket in turn.probes(band.unit(asked), 0.9):
+            for q, b in zip(query, bucket):
+                want[q] |= codes[:, t] == b
+        got = N.Cell(band, np.arange(500), x, codes).candidates(asked)
+        assert (got == want).all() and 0 < want.mean() < 1
+
+
+def test_doubles_keep_their_digits(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(50, 8))
+    for kind in ("array<double>", "array<decimal(20,10)>"):
+        vectors = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "vec_id long, embedding array<double>").selectExpr("vec_id", f"cast(embedding as {kind}) as embedding")
+        got = results(N.search(N.build(vectors), vectors.filter("vec_id = 0")))
+        for _, v, s in got[0]:
+            assert abs(s - x[v] @ x[0]) < (1e-14 if "double" in kind else 1e-8)
+
+
+def test_cells_of_any_size_give_the_same(spark, monkeypatch):
+    rng = np.random.default_rng(10)
+    x = rng.normal(size=(1500, 16)).astype(np.float32)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    vectors = frame(spark, np.arange(1500), x)
+    index = N.build(vectors)
+    first = results(N.search(index, vectors.filter("vec_id % 20 = 0")))
+    monkeypatch.setattr(N, "ROW_NUMBERS", 16 * 200)
+    monkeypatch.setattr(N, "QUERY_NUMBERS", 16 * 30)
+    assert results(N.search(index, vectors.filter("vec_id % 20 = 0"))) == first
