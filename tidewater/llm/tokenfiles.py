@@ -25,9 +25,9 @@ from tidewater.llm.wordcodec import codec
 
 CHUNK_BITS, DIRECTORY_BITS = 8, 512
 #: Documents in a range of ids, about; a range is written by one task, as one or more blocks.
-RANGE_DOCS = 16_000
+RANGE_DOCS = 8_000
 #: Ids after which a block ends, at the end of a document.
-BLOCK_IDS = 1 << 20
+BLOCK_IDS = 1 << 18
 
 #: A block: its range and place in it, the documents' ids and first places within the block,
 #: the number of ids, and for each level the chunks, the bitmap and the rank directory.
