@@ -55,6 +55,9 @@ def corpus(seed):
             w[(i * 9 + k * 47) % 300] = f"new{i}-{k}"
         rows.append((500 - i, " ".join(w)))
     rng.shuffle(rows)
+    # rows of one doc_id with different texts: one document to their links
+    one, two = words(100), words(100)
+    rows += [(800, " ".join(one)), (800, " ".join(two)), (801, " ".join(one[:-1])), (802, " ".join(two[1:])), (790, None), (790, " ".join(two[2:])), (791, "")]
     return rows + [(3, "One two"), (7, "x " * 3000), (8, "x " * 3100)]
 
 
@@ -91,5 +94,43 @@ def test_signature_estimates_similarity():
         assert abs(np.mean(hits)) < 0.06
 
 
+def test_unlike_classes_of_one_bucket_take_linear_work(spark, monkeypatch):
+    """Documents that share a passage and little else meet in buckets, and no pair is left."""
+    rng = random.Random(6)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = [word() for _ in range(60)]
+    rows = [(i, " ".join(passage + [word() for _ in range(60)])) for i in range(3000)]
+    rows += [(5000 + i, rows[i][1] + f" end{i}") for i in range(50)]
+    left, tested = [], []
+    found, pairs, proved = N.left_pairs, N.bounded_pairs, N.verified
+    monkeypatch.setattr(N, "left_pairs", lambda *a: left.append(found(*a)) or left[-1])
+    monkeypatch.setattr(N, "verified", lambda e, s: tested.append(e.count()) or proved(e, s))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r["component_id"] for r in N.near_duplicates(docs).collect()}
+    assert all(got[i] == (i if i < 5000 else i - 5000) for i, _ in rows)
+    assert left[0].count() < 200 and sum(tested) < 2 * N.STARS * N.BANDS * 3050
+
+
+def test_rare_parts_keep_every_link_together(spark):
+    rng = random.Random(7)
+    sets = {}
+    for i in range(60):
+        base = set(rng.sample(range(400), rng.choice([1, 4, 40, 41, 42]))) if i % 3 == 0 or not sets else set(sets[i - 1])
+        for _ in range(rng.randrange(4)):
+            base ^= {rng.randrange(400)}
+        sets[i] = base or {1}
+    part = {r["rep"]: r["part"] for r in N.rare_parts(spark.createDataFrame([(i, sorted(x)) for i, x in sets.items()], "rep long, shingles array<long>")).collect()}
+    for i in sets:
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                assert part[i] == part[j]
+
+
+def test_long_text(spark):
+    text = " ".join(f"v{i}" for i in range(300_000))
+    got = N.near_duplicates(spark.createDataFrame([(2, text), (1, text + " end"), (3, "a b c d e f")], "doc_id long, text string"))
+    assert sorted(map(tuple, got.collect())) == [(1, 299_997, 1, True), (2, 299_996, 1, False), (3, 2, 3, True)]
+
+
 def test_empty_table(spark):
     assert N.near_duplicates(spark.createDataFrame([], "doc_id long, text string")).count() == 0
