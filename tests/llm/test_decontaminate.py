@@ -21,7 +21,7 @@ def brute(texts, items, size=D.WINDOW):
                 for i in range(len(w) - len(g) + 1):
                     if w[i : i + len(g)] == g:
                         hit |= set(range(i, i + len(g)))
-                        found.add(str(item))
+                        found |= {str(item)} - {"None"}
         digest = hashlib.sha256(",".join(sorted(found)).encode()).hexdigest()
         out.append((doc, len(w), len(hit), len(found), digest, bool(hit)))
     return sorted(out, key=str)
@@ -31,9 +31,10 @@ def rows(df):
     return sorted(map(tuple, df.collect()), key=str)
 
 
-@pytest.mark.parametrize("blocks", [D.BLOCK_PHRASES, 3])
-def test_against_brute_force(spark, monkeypatch, blocks):
+@pytest.mark.parametrize(("blocks", "listed"), [(D.BLOCK_PHRASES, D.LISTED_TERMS), (3, 2)])
+def test_against_brute_force(spark, monkeypatch, blocks, listed):
     monkeypatch.setattr(D, "BLOCK_PHRASES", blocks)
+    monkeypatch.setattr(D, "LISTED_TERMS", listed)
     rng = random.Random(5)
     vocabulary = ["a", "b", "É", "c1", "Dd", "e"]
     say = lambda n: " ".join(rng.choice(vocabulary) for _ in range(n))
@@ -54,12 +55,45 @@ def test_empty_tables(spark):
 
 
 def test_segments_and_proximity(spark, monkeypatch):
-    monkeypatch.setattr(D, "SEGMENT_WORDS", 500)
+    monkeypatch.setattr(D, "SEGMENT_WORDS", 20)
     docs = spark.createDataFrame([(i, f"x{i} alpha " + "pad " * (i % 7) + "beta") for i in range(30)], "doc_id long, text string").coalesce(1)
     index = D.build(docs)
     assert index.count() > 5
-    near = D.search(index, [("q", [b"alpha", b"beta"])], distance=4).collect()
+    asked = D.phrases(spark.createDataFrame([("q", [b"alpha", b"beta"])], "item string, words array<binary>"))
+    near = D.search(index, asked, distance=4).collect()
     assert {r["doc_id"] for r in near if r["items"]} == {i for i in range(30) if i % 7 <= 3}
-    exact = D.search(index, [("q", [b"alpha", b"beta"])]).collect()
+    exact = D.search(index, asked).collect()
     assert {r["doc_id"] for r in exact if r["items"]} == {i for i in range(30) if i % 7 == 0}
     assert all(np.array_equal(r["begins"], [1]) for r in exact if r["items"])
+
+
+def test_proximity_stays_in_a_document(spark):
+    docs = spark.createDataFrame([(0, "x alpha"), (1, "beta y"), (2, "alpha " + "pad " * 300 + "beta")], "doc_id long, text string").coalesce(1)
+    asked = D.phrases(spark.createDataFrame([("q", [b"alpha", b"beta"])], "item string, words array<binary>"))
+    index = D.build(docs)
+    found = lambda distance: {r["doc_id"] for r in D.search(index, asked, distance).collect() if r["items"]}
+    assert found(1000) == {2} and found(300) == set()
+
+
+def test_postings_stay_where_they_are(spark):
+    """The index is joined by its buckets: only phrases are shuffled."""
+    index = D.build(spark.createDataFrame([(0, "a b c")], "doc_id long, text string"))
+    asked = D.phrases(spark.createDataFrame([("q", [b"a", b"b"])], "item string, words array<binary>"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = D.search(index, asked)
+        assert found.first()["begins"] == [0]
+        plan = found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    side = plan[plan.index("positions") :]
+    assert "SortMergeJoin" in plan and "Bucketed: true" in plan
+    assert plan.count("Exchange hashpartitioning(segment") <= 3 and "Exchange" not in side[: side.index("FileScan")]
+
+
+def test_a_text_longer_than_a_segment(spark):
+    text = "w0 " + " ".join(f"w{i}" for i in range(D.SEGMENT_WORDS)) + " a b c"
+    docs = spark.createDataFrame([(1, text), (2, "a b")], "doc_id long, text string")
+    bench = spark.createDataFrame([("long", f"w{D.SEGMENT_WORDS - 1} a b c"), ("short", "a b")], "item_id string, text string")
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"]) for r in D.contamination(docs, bench).collect()}
+    assert got == {1: (D.SEGMENT_WORDS + 4, 4, 2), 2: (2, 2, 1)}

@@ -5,11 +5,12 @@ whole documents: the sorted 64-bit hashes of its terms and, term after term, the
 positions of each. Documents follow one another in a segment with a gap between them, so
 that no phrase spans two. Every word of every document is indexed.
 
-A search takes phrases in blocks of bounded size, a copy of each block for every task. In a
-segment, phrases with a term that the segment lacks fall out at once; for the others the
-lists of positions, each less its term's offset in the phrase, are intersected from the
-rarest term on. Proximity searches take the same lists and look for each term within a
-distance of the rarest one.
+A search takes phrases as a table. Each phrase is sent to the segments that hold its rarest
+term, which takes a look at the segments' lists of terms alone; a phrase with a term that no
+segment has falls out. In a segment the lists of positions, each less its term's offset in the
+phrase, are intersected from the rarest term on. Proximity searches take the same lists and
+look for each term within a distance of the rarest one, in the same document. The index is
+bucketed by segment, so that phrases move and postings don't.
 
 Terms are compared by xxh64: among 10^7 terms two share a hash with a chance of about 3e-6.
 """
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
@@ -28,16 +30,19 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import arrow_map, map_batches, record_batch, table, written
+from tidewater.llm.common import arrow_map, map_batches, record_batch, shared_dir, table, written
 
 #: Words of a segment, about: it ends with the document that reaches them.
 SEGMENT_WORDS = 1 << 20
-#: Empty places between two documents of a segment, and so the most words of a phrase.
-GAP = 256
+#: Empty places between two documents of a segment.
+GAP = 1
 #: Words of a contamination window.
 WINDOW = 10
-#: Phrases that one pass over the index searches.
-BLOCK_PHRASES = 500_000
+#: Terms up to which tasks get a list of those that matter (8 bytes each); with more of them
+#: all terms of a segment are sent, and a join picks.
+LISTED_TERMS = 1 << 20
+#: Phrases of a segment that are searched together, about.
+BLOCK_PHRASES = 20_000
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -55,10 +60,13 @@ def hashes(terms: Iterable[bytes]) -> np.ndarray:
 
 
 def build(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """The index of all words of all documents, written to the shared folder.
+    """The index of all words of all documents, a table in the shared folder in as many buckets
+    as the session has shuffle partitions.
 
-    Null and empty texts have no words and stand in the index with length 0.
+    Null and empty texts have no words and stand in the index with length 0. A document of
+    any length lies in one segment.
     """
+    spark = docs.sparkSession
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = 0
@@ -103,7 +111,10 @@ def build(docs: DataFrame, path: str | None = None) -> DataFrame:
         if ids:
             yield flush()
 
-    return written(map_batches(docs.select("doc_id", "text"), run, INDEX), path)
+    name, buckets = f"tidewater_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = map_batches(docs.select("doc_id", "text"), run, INDEX)
+    rows.write.bucketBy(buckets, "segment").option("path", path or shared_dir(spark)).saveAsTable(name)
+    return spark.table(name)
 
 
 class Segment:
@@ -145,81 +156,125 @@ class Segment:
         return found
 
     def near(self, terms: list[int], distance: int) -> np.ndarray:
-        """Places of the rarest term that have each other term within the distance."""
+        """Places of the rarest term that have each other term within the distance, in the same
+        document."""
         terms = sorted(set(terms), key=lambda t: int(self.edges[t + 1] - self.edges[t]))
         found = self.list(terms[0])
+        doc = np.searchsorted(self.starts, found, "right") - 1
+        low = np.maximum(found - distance, self.starts[doc])
+        high = np.minimum(found + distance, self.starts[doc] + self.lengths[doc] - 1)
         for t in terms[1:]:
             own = self.list(t)
-            first = np.searchsorted(own, found - distance)
-            found = found[(first < len(own)) & (own[np.minimum(first, len(own) - 1)] <= found + distance)]
+            first = np.searchsorted(own, low)
+            kept = (first < len(own)) & (own[np.minimum(first, len(own) - 1)] <= high)
+            found, low, high = found[kept], low[kept], high[kept]
         return found
 
 
-class Phrases:
-    """A block of phrases: term hashes in a row each, padded, and the item of each."""
+def phrases(rows: DataFrame) -> DataFrame:
+    """(item, terms) of rows (item string, words array<binary>)."""
 
-    def __init__(self, rows: list[tuple[str, list[bytes]]]):
-        self.items = [item for item, _ in rows]
-        self.sizes = np.array([len(w) for _, w in rows])
-        flat = hashes(w for _, ws in rows for w in ws)
-        self.terms, inverse = np.unique(flat, return_inverse=True)
-        cuts = np.concatenate([[0], np.cumsum(self.sizes)])
-        self.matrix = np.full((len(rows), int(self.sizes.max())), -1, np.int64)
-        for i in range(len(rows)):
-            self.matrix[i, : self.sizes[i]] = inverse[cuts[i] : cuts[i + 1]]
+    def make():
+        def fn(batch: pa.RecordBatch) -> dict:
+            return {"item": batch["item"], "terms": [hashes(w).view(np.int64) for w in batch["words"].to_pylist()]}
+
+        return fn
+
+    return arrow_map(rows, make, PHRASES)
+
+
+PHRASES = "item string, terms array<long>"
 
-    def possible(self, segment: Segment) -> Iterator[tuple[int, list[int]]]:
-        """Phrases whose terms all occur in the segment, as its terms."""
-        at = np.append(segment.find(self.terms), 0)  # the last stands for the padding
-        terms = at[self.matrix]
-        for i in np.flatnonzero((terms >= 0).all(axis=1)).tolist():
-            yield i, terms[i, : self.sizes[i]].tolist()
+
+def listed(terms: DataFrame) -> np.ndarray | None:
+    """The terms, ascending, if they are few enough to be sent to every task."""
+    if terms.count() > LISTED_TERMS:
+        return None
+    return np.unique(terms.toArrow().column(0).to_numpy().view(np.uint64))
+
+
+def vocabulary(index: DataFrame, terms: DataFrame, by_segment: bool) -> DataFrame:
+    """(segment, term, n) of how often the segments have the terms, or, without by_segment,
+    sums of a task's segments, whose segment is null."""
+    schema = "segment long, term long, n long"
+    held = index.sparkSession.sparkContext.broadcast(listed(terms))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = held.value
+        total = np.zeros(0 if some is None else len(some), np.int64)
+
+        def emit(segment: int | None, terms: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            return record_batch({"segment": [segment] * len(n), "term": terms.view(np.int64), "n": n}, schema)
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                own, n = np.frombuffer(row["terms"], "<u8"), np.diff(np.frombuffer(row["edges"], "<u4").astype(np.int64))
+                if some is None:
+                    yield emit(row["segment"], own, n)
+                    continue
+                at = np.searchsorted(own, some)
+                there = np.flatnonzero(own[np.minimum(at, len(own) - 1)] == some) if len(own) else np.zeros(0, np.int64)
+                if by_segment:
+                    yield emit(row["segment"], some[there], n[at[there]])
+                else:
+                    total[there] += n[at[there]]
+        if total.any():
+            yield emit(None, some[total > 0], total[total > 0])
+
+    return map_batches(index.select("segment", "terms", "edges"), run, schema).join(terms, "term", "left_semi")
+
+
+def rarest(index: DataFrame, asked: DataFrame) -> DataFrame:
+    """(item, terms, term) of the phrases whose terms all occur, with the rarest of them."""
+    each = asked.select("item", "terms", F.explode(F.array_distinct("terms")).alias("term"))
+    often = vocabulary(index, written(each.select("term").distinct()), False).groupBy("term").agg(F.sum("n").alias("n"))
+    found = each.join(written(often), "term").groupBy("item", "terms").agg(F.min(F.struct("n", "term")).alias("least"), F.count("*").alias("found"))
+    return found.filter(F.col("found") == F.size(F.array_distinct("terms"))).select("item", "terms", "least.term")
 
 
 HITS = "segment long, ordinal int, doc_id long, n_words long, begins array<long>, ends array<long>, items array<string>"
 
 
-def search(index: DataFrame, phrases: Iterable[tuple[str, list[bytes]]], distance: int | None = None) -> DataFrame:
-    """For each document and block of phrases, the document's hit words as disjoint ranges
-    from begins up to ends, and the items of the phrases that occur.
+def search(index: DataFrame, asked: DataFrame, distance: int | None = None) -> DataFrame:
+    """For each document and block of phrases (item, terms), the document's hit words as
+    disjoint ranges from begins up to ends, and the items of the phrases that occur.
 
     distance: None for exact phrases, else each term within so many places of the rarest.
     Every document has a row, with empty lists if nothing is found.
     """
-    spark = index.sparkSession
-    out, block = None, []
-
-    def pass_over(rows: list) -> DataFrame:
-        held = spark.sparkContext.broadcast(Phrases(rows) if rows else None)
-
-        def make():
-            asked = held.value
-
-            def fn(batch: pa.RecordBatch) -> dict:
-                columns = {k: [] for k in ("segment", "ordinal", "doc_id", "n_words", "begins", "ends", "items")}
-                for row in batch.to_pylist():
-                    _search(Segment(row), row["segment"], asked, distance, columns)
-                return columns
+    asked = written(asked.filter(F.size("terms") > 0).distinct())
+    least = written(rarest(index, asked))
+    places = written(vocabulary(index, written(least.select("term").distinct()), True).select("segment", "term"))
+    sent = written(least.join(places, "term").select("segment", "item", "terms"))
+    n = written(sent.groupBy("segment").agg(F.count("*").alias("n")))
+    block = F.pmod(F.xxhash64("item", "terms"), F.ceil(F.col("n") / BLOCK_PHRASES))
+    lists = sent.join(n, "segment").groupBy("segment", block.alias("block")).agg(F.collect_list(F.struct("item", "terms")).alias("phrases"))
+    both = index.join(lists.select("segment", "phrases"), "segment", "left")
 
-            return fn
+    def make():
+        def fn(batch: pa.RecordBatch) -> dict:
+            columns = {k: [] for k in ("segment", "ordinal", "doc_id", "n_words", "begins", "ends", "items")}
+            for row in batch.to_pylist():
+                _search(Segment(row), row["segment"], row["phrases"] or [], distance, columns)
+            return columns
 
-        return arrow_map(index, make, HITS)
+        return fn
 
-    for phrase in phrases:
-        block.append(phrase)
-        if len(block) == BLOCK_PHRASES:
-            out, block = pass_over(block) if out is None else out.unionByName(pass_over(block)), []
-    if block or out is None:
-        out = pass_over(block) if out is None else out.unionByName(pass_over(block))
-    return out
+    return arrow_map(both, make, HITS)
 
 
-def _search(segment: Segment, number: int, asked: Phrases | None, distance: int | None, columns: dict) -> None:
+def _search(segment: Segment, number: int, asked: list[dict], distance: int | None, columns: dict) -> None:
     n = len(segment.docs)
     begun: list[np.ndarray] = []
     ended: list[np.ndarray] = []
     items: dict[int, set[str]] = defaultdict(set)
-    for i, terms in asked.possible(segment) if asked else ():
+    at = segment.find(np.array([t for p in asked for t in p["terms"]], np.int64).view(np.uint64)).tolist()
+    end = 0
+    for p in asked:
+        first, end = end, end + len(p["terms"])
+        terms = at[first:end]
+        if min(terms) < 0:
+            continue
         if distance is None:
             places, size = segment.phrase(terms), len(terms)
         else:
@@ -227,8 +282,9 @@ def _search(segment: Segment, number: int, asked: Phrases | None, distance: int
         if len(places):
             begun.append(places)
             ended.append(places + size)
-            for d in np.unique(np.searchsorted(segment.starts, places, "right") - 1).tolist():
-                items[d].add(asked.items[i])
+            if p["item"] is not None:
+                for d in np.unique(np.searchsorted(segment.starts, places, "right") - 1).tolist():
+                    items[d].add(p["item"])
     ranges: dict[int, tuple[list[int], list[int]]] = {}
     if begun:
         edges = np.zeros(int(segment.starts[-1] + segment.lengths[-1]) + 2, np.int32)
@@ -250,15 +306,23 @@ def _search(segment: Segment, number: int, asked: Phrases | None, distance: int
     columns["items"] += [sorted(items[d]) if d in items else [] for d in range(n)]
 
 
-def windows(benchmark: DataFrame, size: int = WINDOW) -> Iterator[tuple[str, list[bytes]]]:
-    """Windows of the items' words; the items come to the driver one partition at a time.
+def windows(benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
+    """(item, terms): windows of the items' words. An item of fewer words, but not none, is
+    one window; null and empty items have none."""
 
-    An item of fewer words, but not none, is one window; null and empty items have none.
-    """
-    for row in benchmark.select("item_id", "text").toLocalIterator():
-        found = words(row["text"])
-        for i in range(max(1, len(found) - size + 1) if found else 0):
-            yield str(row["item_id"]), found[i : i + size]
+    def make():
+        def fn(batch: pa.RecordBatch) -> dict:
+            items, terms = [], []
+            for item, text in zip(batch["item"].to_pylist(), batch["text"].to_pylist(), strict=True):
+                found = hashes(words(text)).view(np.int64)
+                for i in range(max(1, len(found) - size + 1) if len(found) else 0):
+                    items.append(item)
+                    terms.append(found[i : i + size])
+            return {"item": items, "terms": terms}
+
+        return fn
+
+    return arrow_map(benchmark.select(F.col("item_id").cast("string").alias("item"), "text"), make, PHRASES)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) -> DataFrame:
@@ -266,7 +330,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, size: int = WINDOW) ->
 
     A word is hit if it lies inside any occurrence of a window of an item. Null and empty
     documents have no words and no hits. Repeated rows each have a row; items that share an
-    item_id count once. Without any window nothing is contaminated.
+    item_id count once, items without item_id make hits but are not counted. Without any
+    window nothing is contaminated.
     """
     hits = search(build(docs), windows(benchmark, size))
     merged = hits.groupBy("segment", "ordinal").agg(
@@ -315,7 +380,7 @@ WITH d AS (
 ), c AS (
   SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS j FROM h) GROUP BY doc_id
 ), k AS (
-  SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS items
+  SELECT doc_id, count(x) AS n_items, string_agg(x, ',' ORDER BY x) AS items
   FROM (SELECT DISTINCT doc_id, cast(item_id AS varchar) AS x FROM h) GROUP BY doc_id
 )
 SELECT doc_id, cast(len(w) AS bigint) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
