@@ -146,7 +146,7 @@ _TYPES = {
     "long": T.LongType(), "int": T.IntegerType(), "double": T.DoubleType(), "string": T.StringType(),
     "binary": T.BinaryType(), "boolean": T.BooleanType(), "array<long>": T.ArrayType(T.LongType()),
     "array<int>": T.ArrayType(T.IntegerType()), "array<float>": T.ArrayType(T.FloatType()), "array<double>": T.ArrayType(T.DoubleType()),
-    "array<string>": T.ArrayType(T.StringType()),
+    "array<string>": T.ArrayType(T.StringType()), "array<boolean>": T.ArrayType(T.BooleanType()),
 }
 
 
