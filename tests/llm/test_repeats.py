@@ -64,5 +64,29 @@ def test_against_brute_force(spark):
         assert got == brute(rows, R.WINDOW)
 
 
+def test_one_letter_long_texts_and_a_passage_of_a_third(spark):
+    rng = random.Random(9)
+    text = lambda n: "".join(rng.choice("abcdefghij é") for _ in range(n))
+    passage, long = text(700), text(60_000)
+    rows = [(0, "a" * 6_000), (1, "a" * 405), (2, "ab" * 2_500), (3, long), (4, text(500) + long[20_000:20_450] + text(500))]
+    rows += [(10 + i, text(rng.randrange(50, 400)) + (passage if i % 3 == 0 else text(700)) + text(300)) for i in range(90)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted(map(tuple, R.without_repeats(docs).collect()), key=str)
+    assert got == brute(rows, R.WINDOW)
+    by = {r[0]: r for r in got}
+    assert all((by[10 + i][2] >= 700) == (i % 3 == 0) for i in range(90))
+
+
+def test_passages_of_fifty_words_may_be_shorter_than_the_window(spark):
+    """A passage of over 50 words that is no 400 bytes long stays, as strings of 400 bytes are what counts."""
+    rng = random.Random(10)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
+    say = lambda n: " ".join(word() for _ in range(n))
+    short, long = say(60), say(80)  # 359 and 479 bytes
+    rows = [(i, f"{say(40)} {short if i < 5 else long} {say(40)}") for i in range(10)]
+    got = {r["doc_id"]: r["n_removed"] for r in R.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] == 0 for i in range(5)) and all(got[i] >= 479 for i in range(5, 10))
+
+
 def test_empty_table(spark):
     assert R.without_repeats(spark.createDataFrame([], "doc_id long, text string")).count() == 0

@@ -12,7 +12,7 @@ from tidewater.llm.neardups import OP3_SQL, op3_near_duplicates
 from tidewater.llm.neighbours import op6_nearest_neighbours
 from tidewater.llm.packing import op4_best_fit_packing
 from tidewater.llm.pagetext import op9_main_text
-from tidewater.llm.repeats import op10_repeated_strings
+from tidewater.llm.repeats import OP10_SQL, op10_repeated_strings
 from tidewater.llm.secrets import op7_secret_scan
 from tidewater.llm.tokenfiles import op5_token_files
 from tidewater.llm.warc import OP8_SQL, op8_warc
@@ -30,4 +30,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_repeated_strings": op10_repeated_strings,
 }
 
-ORACLE_SQL: dict[str, str] = {"op1_decontamination": OP1_SQL, "op3_near_duplicates": OP3_SQL, "op8_warc": OP8_SQL}
+ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": OP1_SQL,
+    "op3_near_duplicates": OP3_SQL,
+    "op8_warc": OP8_SQL,
+    "op10_repeated_strings": OP10_SQL,
+}

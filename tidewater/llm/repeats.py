@@ -106,9 +106,8 @@ def first_pass(rows: DataFrame, window: int) -> DataFrame:
 def stretches(rows: DataFrame, wanted: DataFrame, window: int) -> DataFrame:
     """wanted(doc_id, row, first, low, high) with the bytes that their windows cover."""
     need = wanted.groupBy(F.col("doc_id").alias("d"), F.col("row").alias("r")).agg(F.collect_list(F.struct("first", "low", "high")).alias("runs"))
-    once = rows.dropDuplicates(["doc_id", "row"])
-    cut = once.join(need, (F.col("row") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d")))
-    cut = cut.select("doc_id", "row", "data", F.explode("runs").alias("x"))
+    some = rows.join(need, (F.col("row") == F.col("r")) & F.col("doc_id").eqNullSafe(F.col("d"))).dropDuplicates(["doc_id", "row"])
+    cut = some.select("doc_id", "row", "data", F.explode("runs").alias("x"))
     size = F.col("x.high") - F.col("x.low") + window
     return cut.select("doc_id", "row", "x.first", "x.low", "x.high", F.substring("data", F.col("x.first") + 1, size).alias("stretch"))
 
@@ -211,3 +210,19 @@ def without_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def op10_repeated_strings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents", "doc_id", "text"))
+
+
+OP10_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+h AS (SELECT doc_id, octet_length(b) AS n, hex(b) AS x FROM d),
+w AS (SELECT doc_id, i, hash(substr(x, 2 * i + 1, 800)) AS k FROM (SELECT doc_id, x, unnest(range(n - 399)) AS i FROM h WHERE n >= 400)),
+r AS (SELECT doc_id, i FROM w JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
+s AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 400 THEN 0 ELSE 1 END AS fresh FROM r),
+g AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM s),
+t AS (SELECT doc_id, run, min(i) AS a, max(i) + 400 AS b FROM g GROUP BY doc_id, run),
+e AS (SELECT doc_id, run, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY run) AS before FROM t),
+k AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(x, 2 * before + 1, 2 * (a - before)), '' ORDER BY run) AS kept FROM e JOIN h USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, cast(coalesce(n_removed, 0) AS bigint) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(kept, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM h LEFT JOIN k USING (doc_id)
+"""
