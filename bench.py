@@ -15,7 +15,7 @@ from tidewater.plans import aml, registry
 from tidewater.sources import fixture
 
 HEADLINES = ["q1_low_amount", "q2_max_per_bank", "q3_below_avg_fraction", "q4_scatter_gather_accounts", "q5_count_converted"]
-EXTRA = ["q4_pair_middles", "agg_argmax_by_bank", "agg_avg_by_format", "multi_client_q4"]
+EXTRA = ["q4_pair_middles", "agg_argmax_by_bank", "agg_avg_by_format", "multi_client_q4", "multi_client_q5", "limit_top_transfers", "csv_transfers"]
 
 
 def main() -> None:

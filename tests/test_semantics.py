@@ -123,6 +123,37 @@ def test_run_all_shares_one_scan(spark):
     got["usd"].unpersist()
 
 
+def ran(df):
+    """The final plan of a query that has run."""
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.split("== Initial Plan ==")[0]
+
+
+@pytest.mark.parametrize("reduce", [True, False])
+def test_q4_reads_its_edges_once(spark, reduce):
+    from tidewater.plans import registry
+
+    plan = ran(aml.q4(registry.usd(spark, "/root/testdata/sf0.01"), reduce=reduce))
+    assert plan.count("FileScan") == 1 and "ReusedExchange" in plan
+
+
+def test_q5_of_many_clients_reads_transfers_once(spark):
+    from tidewater.plans import registry
+
+    assert ran(registry.QUERIES["multi_client_q5"](spark, "/root/testdata/sf0.01")).count("FileScan") == 1
+
+
+def test_edges_need_both_accounts(spark):
+    rows = star(5)
+    assert aml.graph(usd(spark, *rows, {**rows[0], "from_account": None}, {**rows[0], "to_bank": None})).count() == 10
+
+
+def test_lists_in_settings(spark):
+    for text, want in (("", []), (None, []), (" a , ,b\t,", ["a", "b"]), ("x", ["x"])):
+        assert spark.range(1).select(E.listed(F.lit(text).cast("string"), ",").alias("x")).first()["x"] == want
+
+
 def test_plans_push_down_and_prune(spark):
     from tidewater.plans import registry
 

@@ -1,7 +1,8 @@
 import datetime
+import json
 
 from tidewater.plans import aml
-from tidewater.sources import csvfiles, fixture, sinks
+from tidewater.sources import csvfiles, fixture, rates, sinks
 
 HEADER = "Timestamp,From Bank,Account,To Bank,Account,Amount Received,Receiving Currency,Amount Paid,Payment Currency,Payment Format,Is Laundering"
 
@@ -32,3 +33,21 @@ def test_result_files(spark, tmp_path):
     assert lines[0] == "From Bank,Account,To Bank,Account.1,Amount Paid" and len(lines) == 371
     assert all(len(x.rsplit(".", 1)[1]) == 2 for x in lines[1:])
     assert (next((tmp_path / "q5").glob("part-*.csv"))).read_text().split() == ["Size", "2"]
+
+
+def test_ordered_results(spark, tmp_path):
+    rows = spark.createDataFrame([("10", "b"), ("9", "a"), ("10", "B"), ("010", "z")], "bank string, account string").repartition(3)
+    sinks.write_result(rows, "q4", str(tmp_path / "q4"), single_file=True, ordered=True)
+    (part,) = (tmp_path / "q4").glob("part-*.csv")
+    assert part.read_text().split() == ["Bank,Account", "010,z", "10,B", "10,b", "9,a"]
+
+
+def test_rates_from_json(spark, tmp_path):
+    one = {"date": "2024-01-01", "base": "USD", "quote": "EUR", "rate": 0.9}
+    many = [one, {**one, "quote": "GBP", "rate": 0.8}, {**one, "base": "EUR"}, {**one, "date": "x", "quote": "A"}, {**one, "rate": 0, "quote": "B"}, {**one, "rate": None, "quote": "C"}, {**one, "quote": None}, {}]
+    (tmp_path / "array.json").write_text(json.dumps(many))
+    (tmp_path / "one.json").write_text(json.dumps(one, indent=1))
+    (tmp_path / "lines.json").write_text("\n".join(map(json.dumps, many)))
+    want = [(datetime.date(2024, 1, 1), "EUR", 0.9), (datetime.date(2024, 1, 1), "GBP", 0.8)]
+    read = lambda name, **k: sorted(map(tuple, rates.read_rates(spark, str(tmp_path / name), **k).collect()))
+    assert read("array.json") == read("lines.json", lines=True) == want and read("one.json") == want[:1]

@@ -53,3 +53,25 @@ def within(ts: Column, period: tuple[str, str], inclusive_end: bool = False) ->
     """Whether a time lies in [start, end), or in [start, end] with inclusive_end."""
     start, end = (F.lit(x).cast("timestamp_ntz") for x in period)
     return (ts >= start) & ((ts <= end) if inclusive_end else (ts < end))
+
+
+def raw_within(raw: Column, period: tuple[str, str]) -> Column:
+    """Whether a time as files have it lies in [start, end] as a string, byte by byte: a time
+    of the end's day is greater than the day alone."""
+    return (raw >= F.lit(period[0])) & (raw <= F.lit(period[1]))
+
+
+def slashed_date(text: Column) -> Column:
+    """A date with slashes in place of hyphens, as files have it."""
+    return F.translate(text, "-", "/")
+
+
+def day_of(raw: Column) -> Column:
+    """The day of a time as files have it: what stands before the first blank."""
+    return F.get(F.split(raw, " ", 2), F.lit(0))
+
+
+def listed(text: Column, separator: str) -> Column:
+    """The parts of a list in a setting, trimmed, without empty ones."""
+    parts = F.transform(F.split(text, r"\Q" + separator + r"\E"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    return F.filter(F.coalesce(parts, F.array().cast("array<string>")), lambda x: x != "")

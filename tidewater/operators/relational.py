@@ -56,8 +56,11 @@ EDGE = ["from_bank", "from_account", "to_bank", "to_account"]
 
 
 def edges(df: DataFrame, *keys: str) -> DataFrame:
-    """Distinct pairs of accounts with a transfer from one to the other."""
-    return df.select(*keys, *EDGE).distinct()
+    """Distinct pairs of accounts with a transfer from one to the other; those without either
+    account fall out. So joins on either side add no filter of their own, and Spark reads and
+    shuffles the edges once for all of them."""
+    known = [F.col(c).isNotNull() for c in EDGE]
+    return df.select(*keys, *EDGE).filter(known[0] & known[1] & known[2] & known[3]).distinct()
 
 
 def degree(pairs: DataFrame, side: str, *keys: str) -> DataFrame:
@@ -69,11 +72,13 @@ def reduced(pairs: DataFrame, side: str, k: int, *keys: str) -> DataFrame:
     """Edges whose source (from) or destination (to) has at least k distinct neighbours.
 
     A pair of accounts with k middles between them has k neighbours on either side, so the
-    reduction before the self join leaves the answer as it is.
+    reduction before the self join leaves the answer as it is. The join is an inner one with
+    one row for each account: a semi join would be pushed below the distinct edges, which
+    would then be made once more.
     """
     often = degree(pairs, side, *keys).filter(F.col("degree") >= k)
     often = often.select(*keys, F.col("bank").alias(f"{side}_bank"), F.col("account").alias(f"{side}_account"))
-    return pairs.join(often, [*keys, f"{side}_bank", f"{side}_account"], "left_semi")
+    return pairs.join(often, [*keys, f"{side}_bank", f"{side}_account"]).select(*keys, *EDGE)
 
 
 CHAIN = ["left_bank", "left_account", "middle_bank", "middle_account", "right_bank", "right_account"]
@@ -89,6 +94,17 @@ def chains(first: DataFrame, second: DataFrame, *keys: str) -> DataFrame:
 PAIR = ["left_bank", "left_account", "right_bank", "right_account"]
 
 
+def saturating_count(df: DataFrame, keys: Sequence[str], k: int, name: str) -> DataFrame:
+    """How many rows each key has, k at most."""
+    return df.groupBy(*keys).agg(F.least(F.count("*"), F.lit(k)).alias(name))
+
+
+def top_n(df: DataFrame, n: int, *order: str | Column) -> DataFrame:
+    """The first n rows of the order: n of each partition, and then n of these. The order must
+    be total for the rows to be always the same."""
+    return df.orderBy(*order).limit(n)
+
+
 def pair_middles(found: DataFrame, k: int, *keys: str) -> DataFrame:
     """Pairs of endpoints with at least k chains of distinct middles."""
     return found.groupBy(*keys, *PAIR).agg(F.count("*").alias("middles")).filter(F.col("middles") >= k)

@@ -81,10 +81,11 @@ def graph(usd: DataFrame, p: Params = DEFAULT, keys: tuple[str, ...] = (), inclu
 
 
 def scatter_gather_pairs(usd: DataFrame, p: Params = DEFAULT, keys: tuple[str, ...] = (), reduce: bool = True, inclusive_end: bool = False) -> DataFrame:
+    """reduce: only edges of accounts with enough destinations begin a chain. Reducing the ends
+    of chains too would cost two more shuffles."""
     pairs = graph(usd, p, keys, inclusive_end)
     first = R.reduced(pairs, "from", p.middles, *keys) if reduce else pairs
-    second = R.reduced(pairs, "to", p.middles, *keys) if reduce else pairs
-    return R.pair_middles(R.chains(first, second, *keys), p.middles, *keys)
+    return R.pair_middles(R.chains(first, pairs, *keys), p.middles, *keys)
 
 
 def q4(usd: DataFrame, p: Params = DEFAULT, keys: tuple[str, ...] = (), reduce: bool = True, inclusive_end: bool = False) -> DataFrame:
@@ -93,22 +94,25 @@ def q4(usd: DataFrame, p: Params = DEFAULT, keys: tuple[str, ...] = (), reduce:
     return R.pair_endpoints(pairs, *keys).select(*keys, "bank", "account").distinct()
 
 
-def converted(transfers: DataFrame, rates: DataFrame, p: Params = DEFAULT) -> DataFrame:
-    """Transfers with converted_amount; those without a rate for their day fall out."""
-    rows = transfers.filter(~F.col("payment_currency").isin(*p.ignored))
-    rows = rows.withColumn("iso", E.currency_iso(F.col("payment_currency"))).withColumn("fx_date", E.date_key(F.col("event_ts")))
-    return rows.join(rates, ["fx_date", "iso"]).withColumn("converted_amount", F.col("amount_paid") / F.col("rate"))
+def converted(transfers: DataFrame, rates: DataFrame, p: Params = DEFAULT, how: str = "inner") -> DataFrame:
+    """Transfers with converted_amount; those of ignored currencies and without a rate for
+    their day fall out, or, with a left join, have none."""
+    ignored = F.col("payment_currency").isin(*p.ignored)
+    rows = transfers.filter(~ignored) if how == "inner" else transfers
+    iso = F.when(~ignored, E.currency_iso(F.col("payment_currency")))
+    rows = rows.withColumn("iso", iso).withColumn("fx_date", E.date_key(F.col("event_ts")))
+    return rows.join(rates, ["fx_date", "iso"], how).withColumn("converted_amount", F.col("amount_paid") / F.col("rate"))
 
 
 def q5(transfers: DataFrame, rates: DataFrame, p: Params = DEFAULT, keys: tuple[str, ...] = ()) -> DataFrame:
     """How many transfers of the formats in period A convert to less than the limit; without
     keys always one row, with keys one for each tenant that has transfers."""
-    picked = transfers.filter(F.col("payment_format").isin(*p.formats) & E.within(F.col("event_ts"), p.period_a))
-    low = converted(picked, rates, p).filter(F.col("converted_amount") < p.converted)
+    picked = F.col("payment_format").isin(*p.formats) & E.within(F.col("event_ts"), p.period_a)
+    low = F.col("converted_amount") < p.converted
     if not keys:
-        return low.agg(F.count("*").alias("size"))
-    counts = low.groupBy(*keys).agg(F.count("*").alias("size"))
-    return transfers.select(*keys).distinct().join(counts, list(keys), "left").withColumn("size", F.coalesce("size", F.lit(0)))
+        return converted(transfers.filter(picked), rates, p).filter(low).agg(F.count("*").alias("size"))
+    every = converted(transfers.withColumn("picked", picked), rates, p, "left")
+    return every.groupBy(*keys).agg(F.count_if(F.col("picked") & low).alias("size"))
 
 
 def run_all(transfers: DataFrame, banks: DataFrame, rates: DataFrame, p: Params = DEFAULT) -> dict[str, DataFrame]:

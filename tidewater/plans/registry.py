@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tidewater.functions import exprs as E
 from tidewater.operators import relational as R
 from tidewater.plans import aml
-from tidewater.sources import fixture
+from tidewater.sources import csvfiles, fixture, rates, sinks
 from tidewater.streaming import runner
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,6 +101,13 @@ query("filter_date_closed", f"SELECT transfer_id, event_ts FROM transfers WHERE
 query("filter_converted_amount", "SELECT transfer_id, round(converted_amount, 6) AS converted_amount FROM conv WHERE converted_amount < 1")(
     lambda s, d: R.filter_project(converted(s, d), F.col("converted_amount") < 1, "transfer_id", F.round("converted_amount", 6).alias("converted_amount"))
 )
+RAW = ("2024/01/02", "2024/01/05 12:00")
+query("filter_raw_range", f"SELECT transfer_id, strftime(event_ts, '%Y/%m/%d %H:%M') AS raw FROM transfers WHERE raw >= '{RAW[0]}' AND raw <= '{RAW[1]}'")(
+    lambda s, d: R.filter_project(transfers(s, d).withColumn("raw", F.date_format("event_ts", "yyyy/MM/dd HH:mm")), E.raw_within(F.col("raw"), RAW), "transfer_id", "raw")
+)
+query("limit_top_transfers", "SELECT transfer_id, from_account, amount_paid FROM transfers ORDER BY amount_paid DESC, transfer_id LIMIT 25")(
+    lambda s, d: R.top_n(transfers(s, d), 25, F.desc("amount_paid"), "transfer_id").select("transfer_id", "from_account", "amount_paid")
+)
 query("route_periods", f"SELECT transfer_id, CASE WHEN {IN_A} THEN 0 ELSE 1 END AS period FROM transfers WHERE ({IN_A}) OR ({IN_B})")(
     lambda s, d: transfers(s, d)
     .select("transfer_id", F.when(E.within(F.col("event_ts"), A), 0).when(E.within(F.col("event_ts"), B), 1).alias("period"))
@@ -136,12 +143,36 @@ per_row("fn_format_amount", lambda: E.format_amount(F.col("amount_paid")), "prin
 per_row("fn_parse_ts", lambda: E.parse_ts(written_ts()), "CASE WHEN transfer_id % 7 <> 0 THEN date_trunc('minute', event_ts) END")
 per_row("fn_parse_laundering", lambda: E.parse_laundering(written_flag()), "transfer_id % 4 IN (0, 2)")
 
+per_row("fn_slashed_date", lambda: E.slashed_date(F.date_format("event_ts", "yyyy-MM-dd")), "strftime(event_ts, '%Y/%m/%d')")
+per_row("fn_day_of_raw", lambda: E.day_of(F.date_format("event_ts", "yyyy/MM/dd HH:mm")), "strftime(event_ts, '%Y/%m/%d')")
+
+
+def setting():
+    """A list as settings have it; one in five is empty, one in three has an empty part."""
+    written = F.concat(F.lit(" "), "payment_format", F.when(F.col("transfer_id") % 3 == 0, " , ,").otherwise(","), F.lit("\t"), "payment_currency", F.lit(","))
+    return F.when(F.col("transfer_id") % 5 == 0, "").otherwise(written)
+
+
+per_row("fn_split_list", lambda: F.array_join(E.listed(setting(), ","), "|"), "CASE WHEN transfer_id % 5 = 0 THEN '' ELSE payment_format || '|' || payment_currency END")
+
 # Rates, dimensions and aggregates
 
 query("dim_fx_rates", "SELECT fx_date, iso, cast(rate AS double) AS rate FROM fx")(lambda s, d: fixture.fx_rates(s))
+
+
+@query("dim_fx_rates_json", "SELECT fx_date, iso, cast(rate AS double) AS rate FROM fx")
+def dim_fx_rates_json(s: SparkSession, d: str) -> DataFrame:
+    path = runner.scratch(s)
+    rates.write_rates(fixture.fx_rates(s), path)
+    return rates.read_rates(s, path, lines=True)
+
+
 query("q5_fx_join", "SELECT transfer_id, round(converted_amount, 6) AS converted_amount FROM conv")(
     lambda s, d: converted(s, d).select("transfer_id", F.round("converted_amount", 6).alias("converted_amount"))
 )
+query("agg_saturating_count", "SELECT payment_format, payment_currency, least(count(*), 100) AS n FROM transfers GROUP BY 1, 2")(
+    lambda s, d: R.saturating_count(transfers(s, d), ["payment_format", "payment_currency"], 100, "n")
+)
 query("distinct_banks", "SELECT bank_key, bank_name FROM names")(
     lambda s, d: R.distinct_on(fixture.banks(s, d), E.normalize_bank(F.col("bank_id")), "bank_key", "bank_name")
 )
@@ -185,6 +216,53 @@ query("q4_pair_middles", "SELECT * FROM pairs")(lambda s, d: aml.scatter_gather_
 query("q4_scatter_gather_accounts", Q4)(lambda s, d: aml.q4(usd(s, d)))
 query("q5_count_converted", Q5)(lambda s, d: aml.q5(transfers(s, d), fixture.fx_rates(s)))
 
+# Result lines and files
+
+
+def result_lines(name: str, make: Callable[[SparkSession, str], DataFrame], columns: str, sql: str) -> None:
+    query(f"result_{name}", f"SELECT concat_ws(',', {columns}) AS line FROM ({sql})")(lambda s, d: sinks.lines(make(s, d), name))
+
+
+MONEY = "printf('%.2f', amount_paid)"
+result_lines("q1", lambda s, d: aml.q1(usd(s, d)), f"from_bank, from_account, to_bank, to_account, {MONEY}", Q1.format(c="", t="usd"))
+result_lines("q2", lambda s, d: aml.q2(usd(s, d), fixture.banks(s, d)), f"from_bank, from_account, bank_name, {MONEY}", Q2.format(c="", t="usd", k=""))
+result_lines("q3", lambda s, d: aml.q3(usd(s, d)), f"from_bank, from_account, payment_format, {MONEY}", Q3.format(c="", t="usd"))
+result_lines("q4", lambda s, d: aml.q4(usd(s, d)), "bank, account", Q4)
+result_lines("q5", lambda s, d: aml.q5(transfers(s, d), fixture.fx_rates(s)), "size", Q5)
+
+
+@query("result_q4_file", f"SELECT bank, account, row_number() OVER (ORDER BY bank, account) AS line FROM ({Q4})")
+def result_q4_file(s: SparkSession, d: str) -> DataFrame:
+    """The lines of Q4's file in the order in which they stand there."""
+    path = runner.scratch(s)
+    sinks.write_result(aml.q4(usd(s, d)), "q4", path, single_file=True, ordered=True)
+    found = s.read.option("header", True).csv(path).withColumn("at", F.monotonically_increasing_id())  # one file, read in one piece
+    return found.select(F.col("Bank").alias("bank"), F.col("Account").alias("account"), (F.col("at") + 1).alias("line"))
+
+
+@query(
+    "csv_transfers",
+    "SELECT date_trunc('minute', event_ts) AS event_ts, from_bank, from_account, to_bank, to_account, amount_paid AS amount_received, payment_currency AS receiving_currency, "
+    "amount_paid, payment_currency, payment_format, transfer_id % 2 = 1 AS is_laundering FROM transfers",
+)
+def csv_transfers(s: SparkSession, d: str) -> DataFrame:
+    """Transfers written as lines, those with a bad time among them, and read back."""
+    path = runner.scratch(s)
+    fixture.transfer_lines(transfers(s, d)).write.text(path)
+    return csvfiles.read_transfers(s, path)
+
+
+@query(
+    "csv_accounts",
+    "SELECT n_name AS bank_name, cast(n_nationkey AS varchar) AS bank_id, cast(c_custkey AS varchar) AS account_number, 'E' || c_custkey AS entity_id, c_name || ', and others' AS entity_name "
+    "FROM customer JOIN nation ON c_nationkey = n_nationkey",
+)
+def csv_accounts(s: SparkSession, d: str) -> DataFrame:
+    path = runner.scratch(s)
+    fixture.account_lines(fixture.accounts(s, d)).write.text(path)
+    return csvfiles.read_accounts(s, path)
+
+
 # Variants and exploration
 
 query(
@@ -252,13 +330,21 @@ def dedup_messages(s: SparkSession, d: str) -> DataFrame:
     return runner.deduplicated(sent.unionByName(sent.filter("seq % 3 = 0")))
 
 
-query("verify_multiset_diff", "SELECT unnest(['left', 'right']) AS side, cast(0 AS bigint) AS n")(
-    lambda s, d: R.multiset_diff(aml.q4(usd(s, d)), aml.q4(usd(s, d), reduce=False))
+DIFF = "SELECT from_bank, from_account FROM usd WHERE amount_paid < 50", "SELECT from_bank, from_account FROM usd WHERE amount_paid >= 45 AND amount_paid < 90"
+query(
+    "verify_multiset_diff",
+    f", l AS ({DIFF[0]}), r AS ({DIFF[1]}) SELECT 'left' AS side, count(*) AS n FROM (SELECT * FROM l EXCEPT ALL SELECT * FROM r) "
+    "UNION ALL SELECT 'right', count(*) FROM (SELECT * FROM r EXCEPT ALL SELECT * FROM l)",
+)(
+    lambda s, d: R.multiset_diff(
+        usd(s, d).filter("amount_paid < 50").select("from_bank", "from_account"), usd(s, d).filter("amount_paid >= 45 and amount_paid < 90").select("from_bank", "from_account")
+    )
 )
 
 # Streams
 
 query("stream_ingest", f"SELECT {COLUMNS} FROM transfers")(runner.ingest)
+query("stream_dedup_messages", MANY + "SELECT client_id, transfer_id % 5 AS sender_id, transfer_id // 5 AS seq, amount_paid FROM many")(runner.messages_once)
 query("stream_available_now", "SELECT payment_format, round(sum(amount_paid), 2) AS total, count(*) AS n FROM usd GROUP BY 1")(runner.format_totals)
 query("stream_q3_foreachbatch", Q3.format(c="", t="usd"))(runner.q3)
 query("stream_tumbling_extra", "SELECT date_trunc('hour', event_ts) AS hour, payment_currency, count(*) AS n FROM transfers GROUP BY 1, 2")(runner.hourly)

@@ -18,7 +18,7 @@ TRANSFERS = _struct(
 
 FX = _struct(fx_date=T.DateType(), iso=S, rate=D)
 
-#: Header of each query's result file.
+#: Header of each query's result file (fixed values).
 RESULT_HEADERS = {
     "q1": ["From Bank", "Account", "To Bank", "Account.1", "Amount Paid"],
     "q2": ["From Bank", "Account", "Bank Name", "Amount Paid"],

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from tidewater.schema import FX
 
-#: Units of a currency for one US dollar, by day (fixed values, dates of the fixture).
-EUR_RATES = {"2024-01-01": 1.0002, "2024-01-02": 1.0011, "2024-01-03": 1.0013, "2024-01-04": 1.0013, "2024-01-05": 1.0068}
+#: Euros for one US dollar, by day of the fixture; invented.
+EUR_RATES = {"2024-01-01": 0.92, "2024-01-02": 0.95, "2024-01-03": 0.9, "2024-01-04": 0.98, "2024-01-05": 1.04}
 
 
 def _bank(number) -> F.Column:
@@ -51,3 +51,17 @@ def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fx_rates(spark: SparkSession) -> DataFrame:
     rows = [(datetime.date.fromisoformat(d), iso, r) for d, eur in EUR_RATES.items() for iso, r in (("EUR", eur), ("USD", 1.0))]
     return spark.createDataFrame(rows, FX)
+
+
+def transfer_lines(transfers: DataFrame) -> DataFrame:
+    """Transfers as lines of a file (value); after one in seven comes one whose time is none."""
+    good = F.date_format("event_ts", "yyyy/MM/dd HH:mm")
+    times = F.when(F.col("transfer_id") % 7 == 0, F.array(good, F.lit("2024/13/99 00:00"))).otherwise(F.array(good))
+    amount, flag = F.col("amount_paid").cast("string"), (F.col("transfer_id") % 2).cast("string")
+    rest = ["from_bank", "from_account", "to_bank", "to_account", amount, "payment_currency", amount, "payment_currency", "payment_format", flag]
+    return transfers.withColumn("time", F.explode(times)).select(F.concat_ws(",", "time", *rest).alias("value"))
+
+
+def account_lines(accounts: DataFrame) -> DataFrame:
+    """Accounts as lines of a file (value), whose last column has a comma of its own."""
+    return accounts.select(F.concat_ws(",", "bank_name", "bank_id", "account_number", "entity_id", F.concat("entity_name", F.lit(", and others"))).alias("value"))

@@ -6,24 +6,42 @@ queries may start: they are batch plans over what the stream has written.
 
 from __future__ import annotations
 
+import atexit
+import re
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidewater.plans import aml
 from tidewater.sources.fixture import as_transfers
 
 
 def scratch(spark: SparkSession) -> str:
-    """A fresh folder in the one that spark.checkpoint.dir names, set here only if unset."""
+    """A fresh folder in the one that spark.checkpoint.dir names. Where that is unset and Spark
+    runs in one process, a temporary one is set; on a cluster it's an error. The folder goes
+    when the driver ends."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="tidewater-")
         spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    if spark.sparkContext._jsc is None or spark.sparkContext._jsc.sc().isStopped():
+        return
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def event_stream(spark: SparkSession, sf_dir: str, files_per_trigger: int = 1) -> DataFrame:
@@ -46,13 +64,13 @@ def run_batches(stream: DataFrame, path: str, each: Callable[[DataFrame, int], N
     query.awaitTermination()
 
 
-def last_state(aggregated: DataFrame, path: str) -> DataFrame:
-    """A stream's aggregate as it stands when its input ends."""
-    run_batches(aggregated, path, lambda df, i: df.write.mode("overwrite").parquet(f"{path}/state/{i}"), "complete")
-    spark = aggregated.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/state")
-    names = [s.getPath().getName() for s in hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(hadoop)]
-    return spark.read.schema(aggregated.schema).parquet(f"{path}/state/{max(map(int, names))}")
+def last_state(aggregated: DataFrame, path: str, keys: list[str]) -> DataFrame:
+    """A stream's aggregate as it stands when its input ends: each batch writes the rows that it
+    has changed under its own number, and of each key the last one counts."""
+    run_batches(aggregated, path, lambda df, i: df.write.mode("overwrite").parquet(f"{path}/state/batch={i}"), "update")
+    changes = aggregated.sparkSession.read.schema(aggregated.schema.add("batch", "long")).parquet(f"{path}/state")
+    last = Window.partitionBy(*keys).orderBy(F.desc("batch"))
+    return changes.withColumn("_rank", F.row_number().over(last)).filter("_rank = 1").drop("_rank", "batch")
 
 
 MESSAGE = ("client_id", "sender_id", "seq")
@@ -63,22 +81,81 @@ def deduplicated(messages: DataFrame) -> DataFrame:
     return messages.dropDuplicates(list(MESSAGE))
 
 
+def claim(seqs: np.ndarray, starts: list[int], ends: list[int]) -> tuple[np.ndarray, list[int], list[int]]:
+    """Which of the numbers are new, and the claimed ranges [start, end) with them: ranges that
+    touch become one, so that numbers without gaps take up one range."""
+    if starts:
+        at = np.searchsorted(np.array(starts), seqs, "right") - 1
+        old = (at >= 0) & (seqs < np.array(ends)[np.maximum(at, 0)])
+    else:
+        old = np.zeros(len(seqs), bool)
+    _, first = np.unique(seqs, return_index=True)
+    new = np.zeros(len(seqs), bool)
+    new[first] = True
+    new &= ~old
+    low = np.concatenate([np.array(starts, np.int64), seqs[new]])
+    high = np.concatenate([np.array(ends, np.int64), seqs[new] + 1])
+    order = np.argsort(low)
+    low, high = low[order], high[order]
+    apart = np.flatnonzero(low[1:] > high[:-1])  # claimed ranges never overlap
+    heads, tails = np.concatenate([[0], apart + 1]).astype(int), np.concatenate([apart, [len(low) - 1]]).astype(int)
+    return (new, low[heads].tolist(), high[tails].tolist()) if len(low) else (new, [], [])
+
+
+def once(messages: DataFrame, keys: tuple[str, ...] = MESSAGE[:2], seq: str = MESSAGE[2]) -> DataFrame:
+    """Each message of a stream once, by its keys and its number, however late it comes again.
+
+    State is the ranges of numbers that each key has claimed: one, once there are no gaps. A
+    message without a number falls out.
+    """
+    names = messages.columns
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        starts, ends = map(list, state.get) if state.exists else ([], [])
+        for frame in frames:
+            new, starts, ends = claim(frame[seq].to_numpy(np.int64), starts, ends)
+            yield frame.loc[new, names]
+        state.update((starts, ends))
+
+    known = messages.filter(F.col(seq).isNotNull())
+    return known.groupBy(*keys).applyInPandasWithState(run, messages.schema, "starts array<long>, ends array<long>", "append", GroupStateTimeout.NoTimeout)
+
+
 def without_aborted(rows: DataFrame, aborted: DataFrame) -> DataFrame:
     """Rows of clients that haven't been aborted."""
     return rows.join(aborted, "client_id", "left_anti")
 
 
+#: Shards that a stream's ids are dealt to.
+SHARDS = 16
+
+
+def sharded(rows: DataFrame, column: str = "transfer_id") -> DataFrame:
+    """Rows with the shard of their id and its number there, without gaps where ids have none."""
+    return rows.withColumn("shard", F.pmod(column, F.lit(SHARDS))).withColumn("seq", F.floor(F.col(column) / SHARDS))
+
+
 def ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Transfers of the event stream, each once, as a table."""
-    stream = as_transfers(event_stream(spark, sf_dir)).dropDuplicates(["transfer_id"])
+    stream = once(sharded(as_transfers(event_stream(spark, sf_dir))), ("shard",)).drop("shard", "seq")
     return run_to_files(stream, scratch(spark))
 
 
+def messages_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages of the event stream, of which every third comes twice, each once."""
+    def sent():
+        rows = as_transfers(event_stream(spark, sf_dir))
+        client, number = F.col("from_account").cast("bigint") % 3, F.floor(F.col("transfer_id") / 5)
+        return rows.select(client.alias("client_id"), (F.col("transfer_id") % 5).alias("sender_id"), number.alias("seq"), "amount_paid")
+
+    return run_to_files(once(sent().unionByName(sent().filter("seq % 3 = 0"))), scratch(spark))
+
+
 def format_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sum and count by payment format, as the stream's aggregate at its end."""
     usd = aml.in_currency(as_transfers(event_stream(spark, sf_dir)))
     totals = usd.groupBy("payment_format").agg(F.sum("amount_paid").alias("total"), F.count("*").alias("n"))
-    return last_state(totals, scratch(spark)).select("payment_format", F.round("total", 2).alias("total"), "n")
+    return last_state(totals, scratch(spark), ["payment_format"]).select("payment_format", F.round("total", 2).alias("total"), "n")
 
 
 def q3(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -91,7 +168,8 @@ def q3(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def hourly(spark: SparkSession, sf_dir: str, late: str = "1 hour") -> DataFrame:
-    """Transfers by hour and currency, with a watermark."""
+    """Transfers by hour and currency. Hours that end before the watermark leave the state;
+    what comes later than that falls out."""
     rows = as_transfers(event_stream(spark, sf_dir)).withColumn("at", F.col("event_ts").cast("timestamp")).withWatermark("at", late)
     counts = rows.groupBy(F.window("at", "1 hour").alias("w"), "payment_currency").agg(F.count("*").alias("n"))
-    return last_state(counts, scratch(spark)).select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "payment_currency", "n")
+    return last_state(counts, scratch(spark), ["w", "payment_currency"]).select(F.col("w.start").cast("timestamp_ntz").alias("hour"), "payment_currency", "n")
