@@ -15,7 +15,7 @@ from array import array
 import numpy as np
 
 #: Words whose ids a worker keeps; beyond it the store starts afresh.
-KEEP_WORDS = 600_000
+KEEP_WORDS = 400_000
 
 PLAIN = re.compile(r"(\n?)([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
 
