@@ -70,5 +70,14 @@ def test_pack_against_plain_encoding(spark):
     assert out["sequence_id"].nunique() == -(-out["length"].sum() // 256)
 
 
+def test_a_repeated_document_takes_slots_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr(P, "LEAST_BUCKETS", 8)
+    docs = spark.range(900).selectExpr("if(id % 3 = 0, 7, id) as doc_id", "if(id % 3 = 0, 'one and the same', concat('w', id)) as text").repartition(3)
+    out = P.pack(docs, capacity=32).toPandas()
+    assert len(out) == 900 and not out.duplicated(["sequence_id", "offset"]).any()
+    for _, s in out.sort_values("offset").groupby("sequence_id"):
+        assert s["offset"].tolist() == [0, *s["length"].cumsum().tolist()[:-1]] and s["length"].sum() <= 32
+
+
 def test_pack_empty_table(spark):
     assert P.pack(spark.createDataFrame([], "doc_id long, text string")).count() == 0

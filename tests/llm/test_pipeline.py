@@ -100,3 +100,22 @@ def test_rows_that_share_a_doc_id_or_have_none(spark):
     given = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], docs.schema)
     got = sorted(((r["doc_id"], r["text"]) for r in corpus_pipeline.decontaminated(spark, given, SF).collect()), key=str)
     assert got == sorted([(None, texts[0]), (5, texts[1]), (6, texts[2])], key=str)
+
+
+def test_empty_table(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = written(stage(spark, docs, SF))
+        assert docs.count() == 0
+
+
+def test_near_duplicates_before_decontamination_see_every_text(spark):
+    """Very long, empty and null texts go through the stages."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    long = " ".join(f"{w}{i}" for i in range(20_000) for w in ("the", "and", "house"))
+    rows = [(1, long), (2, long + " end"), (3, ""), (4, None), (5, "the house and the garden are here")]
+    given = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], docs.schema)
+    kept = {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, given, SF).collect()}
+    assert kept == {1, 3, 4, 5}
+    assert {r["doc_id"] for r in corpus_pipeline.decontaminated(spark, given, SF).collect()} == {1, 2, 3, 4, 5}
+    assert corpus_pipeline.without_secrets(spark, given, SF).count() == 5

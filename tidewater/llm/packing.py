@@ -109,15 +109,16 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[int,
 
 
 def place(got: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """Adds sequence_id and offset to a written table of pieces. Equal pieces of a
-    repeated document are interchangeable and take different slots."""
+    """Adds sequence_id and offset to a written table of pieces with a salt, by which they are
+    dealt to buckets, so that a document in a third of all rows lies in all of them. Equal
+    pieces of a repeated document are interchangeable and take different slots."""
     spark = got.sparkSession
     counts = {r["length"]: r["n"] for r in got.groupBy("length").agg(F.count("*").alias("n")).collect()}
     buckets = max(LEAST_BUCKETS, sum(counts.values()) // BUCKET_ROWS)
     rows = plan(counts, capacity)
     schema = "length long, rank_from long, rank_to long, sequence_from long, offset long"
     slots = spark.createDataFrame(rows, schema)
-    got = got.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
+    got = got.withColumn("bucket", F.pmod("salt", F.lit(buckets)))
     sizes = got.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = sizes.withColumn(
         "before",
@@ -144,7 +145,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, end_id: int = 0, capaci
     and text aren't read.
     """
     vocabulary = vocabulary or vocabulary_path("byte_bpe_50k.json")
-    return place(written(pieces(docs, vocabulary, end_id, capacity)), capacity)
+    salt = (F.rand(7) * (1 << 31)).cast("int")
+    return place(written(pieces(docs, vocabulary, end_id, capacity).withColumn("salt", salt)), capacity)
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
