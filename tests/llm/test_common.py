@@ -15,7 +15,8 @@ def test_nothing_outside_imports_the_operators():
 
 
 def test_ten_operators_are_registered():
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES] == list(range(1, 11))
+    numbers = [int(re.match(r"op(\d+)_", n)[1]) for n in registry.QUERIES]
+    assert list(dict.fromkeys(numbers)) == list(range(1, 11))
     assert set(registry.ORACLE_SQL) <= set(registry.QUERIES)
 
 

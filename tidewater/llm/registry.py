@@ -13,7 +13,7 @@ from tidewater.llm.neighbours import op6_nearest_neighbours
 from tidewater.llm.packing import op4_best_fit_packing
 from tidewater.llm.pagetext import op9_main_text
 from tidewater.llm.repeats import OP10_SQL, op10_repeated_strings
-from tidewater.llm.secrets import op7_secret_scan
+from tidewater.llm.secrets import OP7_BASE_SQL, op7_base_spans, op7_secret_scan
 from tidewater.llm.tokenfiles import op5_token_files
 from tidewater.llm.warc import OP8_SQL, op8_warc
 
@@ -28,6 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_main_text": op9_main_text,
     "op10_repeated_strings": op10_repeated_strings,
+    "op7_base_spans": op7_base_spans,
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -35,4 +36,5 @@ ORACLE_SQL: dict[str, str] = {
     "op3_near_duplicates": OP3_SQL,
     "op8_warc": OP8_SQL,
     "op10_repeated_strings": OP10_SQL,
+    "op7_base_spans": OP7_BASE_SQL,
 }

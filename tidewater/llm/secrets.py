@@ -263,3 +263,22 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
         F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
     )
+
+
+def op7_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What SQL can say of the scan: all columns but spans, to which the models add."""
+    return op7_secret_scan(spark, sf_dir).drop("spans")
+
+
+OP7_BASE_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+p(kind, place, pattern) AS (VALUES
+  ('assign', 0, '(?i:password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)'), ('access', 1, 'AKIA[A-Z0-9]{14,}'), ('hex', 2, '[0-9a-f]{16,}')),
+m AS (SELECT doc_id, kind, place, pattern, regexp_extract_all(t, pattern) AS found, regexp_split_to_array(t, pattern) AS pieces FROM d, p WHERE regexp_matches(t, pattern)),
+e AS (SELECT doc_id, kind, place, pattern, found, list_transform(found, lambda x: length(x)) AS f, list_transform(pieces, lambda x: length(x)) AS q, unnest(range(1, len(found) + 1)) AS i FROM m),
+s AS (SELECT doc_id, kind, place, cast(list_sum(q[1:i]) + coalesce(list_sum(f[1:i - 1]), 0) AS bigint) AS a, f[i] AS n, found[i] AS x, pattern FROM e),
+k AS (SELECT doc_id, kind, place, a, a + n AS b FROM s WHERE kind <> 'assign' OR length(regexp_extract(x, pattern, 1)) >= 12),
+g AS (SELECT doc_id, count(*) FILTER (WHERE place = 0) AS n_assign, count(*) FILTER (WHERE place = 1) AS n_access, count(*) FILTER (WHERE place = 2) AS n_hex,
+  string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, place) AS spans FROM k GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(spans, '')) AS base_sha256 FROM d LEFT JOIN g USING (doc_id)
+"""
