@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm.decontaminate import OP1_SQL, op1_decontamination
+from tidewater.llm.infill import OP11_SQL, op11_fill_in_middle
 from tidewater.llm.langid import op2_language_id
 from tidewater.llm.neardups import OP3_SQL, op3_near_duplicates
 from tidewater.llm.neighbours import op6_nearest_neighbours
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_warc": op8_warc,
     "op9_main_text": op9_main_text,
     "op10_repeated_strings": op10_repeated_strings,
+    "op11_fill_in_middle": op11_fill_in_middle,
     "op7_base_spans": op7_base_spans,
 }
 
@@ -36,5 +38,6 @@ ORACLE_SQL: dict[str, str] = {
     "op3_near_duplicates": OP3_SQL,
     "op8_warc": OP8_SQL,
     "op10_repeated_strings": OP10_SQL,
+    "op11_fill_in_middle": OP11_SQL,
     "op7_base_spans": OP7_BASE_SQL,
 }
