@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewater.llm.decontaminate import OP1_SQL, op1_decontamination
+from tidewater.llm.fingerprint import op12_fingerprints
 from tidewater.llm.infill import OP11_SQL, op11_fill_in_middle
 from tidewater.llm.langid import op2_language_id
 from tidewater.llm.neardups import OP3_SQL, op3_near_duplicates
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_main_text": op9_main_text,
     "op10_repeated_strings": op10_repeated_strings,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_fingerprints": op12_fingerprints,
     "op7_base_spans": op7_base_spans,
 }
 
