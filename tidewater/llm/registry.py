@@ -17,6 +17,7 @@ from tidewater.llm.pagetext import op9_main_text
 from tidewater.llm.repeats import OP10_SQL, op10_repeated_strings
 from tidewater.llm.secrets import OP7_BASE_SQL, op7_base_spans, op7_secret_scan
 from tidewater.llm.tokenfiles import op5_token_files
+from tidewater.llm.turntrie import OP13_SQL, op13_prefix_tree
 from tidewater.llm.warc import OP8_SQL, op8_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_repeated_strings": op10_repeated_strings,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_fingerprints": op12_fingerprints,
+    "op13_prefix_tree": op13_prefix_tree,
     "op7_base_spans": op7_base_spans,
 }
 
@@ -41,5 +43,6 @@ ORACLE_SQL: dict[str, str] = {
     "op8_warc": OP8_SQL,
     "op10_repeated_strings": OP10_SQL,
     "op11_fill_in_middle": OP11_SQL,
+    "op13_prefix_tree": OP13_SQL,
     "op7_base_spans": OP7_BASE_SQL,
 }
