@@ -1,11 +1,14 @@
 """Small cases at the edges of each query's definition."""
 
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from tidewater.functions import exprs as E
+from tidewater.operators import overlap
+from tidewater.operators import relational as R
 from tidewater.plans import aml
 from tidewater.schema import FX
 
@@ -72,6 +75,67 @@ def test_q4(spark, reduce):
     assert run([{**r, "to_bank": "01"} if r["to_account"].startswith("B") else r for r in star(5)]) == []  # spelling is identity here
 
 
+def executed(df):
+    """The nodes of a query that has run, with the plans of its stages; reused ones once."""
+    df.collect()
+    todo, out = [df._jdf.queryExecution().executedPlan()], []
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        out.append((name, node))
+        todo += [node.executedPlan()] if name == "AdaptiveSparkPlan" else [node.plan()] if "QueryStage" in name else []
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return out
+
+
+def rows_of(node):
+    found = node.metrics().get("numOutputRows")
+    return found.get().value() if found.isDefined() else 0
+
+
+def graph_of(spark, pairs):
+    return spark.createDataFrame([("1", a, "1", b) for a, b in pairs], "from_bank string, from_account string, to_bank string, to_account string")
+
+
+def test_hubs_make_no_chains(spark):
+    n = 10_000
+    hub = [(f"s{i}", "H") for i in range(n)] + [("H", f"d{i}") for i in range(n)]
+    stars = [(f"s{i}", f"m{i}-{j}") for i in range(3) for j in range(4)] + [(f"m{i}-{j}", f"d{i + e}") for i in range(3) for j in range(4) for e in range(2)]
+    edges = graph_of(spark, hub + stars)
+    want = sorted((f"s{i}", f"d{i + e}", 5) for i in range(3) for e in range(2))  # four of their own and the hub
+    got = overlap.overlapping(edges, 5)
+    nodes = executed(got)
+    assert sorted((r["left_account"], r["right_account"], r["middles"]) for r in got.collect()) == want
+    joined = max(rows_of(node) for name, node in nodes if "Join" in name)
+    assert 0 < joined <= 3 * n  # the plain join makes n * n chains
+    few = graph_of(spark, [e for e in hub + stars if e[0][0] != "s" or int(e[0][1:]) < 9])
+    plain = R.pair_middles(R.chains(few, few), 5).collect()
+    assert sorted(map(tuple, plain)) == sorted(map(tuple, overlap.overlapping(few, 5, hub_chains=0).select(*R.PAIR, "middles").collect()))
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_overlaps_equal_the_plain_join(spark, seed):
+    rng = random.Random(seed)
+    names = [f"a{i}" for i in range(14)]
+    edges = graph_of(spark, {(rng.choice(names), rng.choice(names)) for _ in range(90)}).withColumn("client_id", F.lit(1))
+    for k, hub_chains in ((1, 0), (2, 0), (3, 4), (5, 10)):
+        want = sorted(map(tuple, R.pair_middles(R.chains(edges, edges), k).collect()))
+        got = overlap.overlapping(edges, k, "client_id", hub_chains=hub_chains).drop("client_id").collect()
+        assert sorted(map(tuple, got)) == want and (want or k > 3)
+        least = overlap.overlapping(edges, k, hub_chains=hub_chains, counted=False).collect()
+        assert sorted(tuple(r)[:4] for r in least) == [w[:4] for w in want] and all(r["middles"] >= k for r in least)
+
+
+def test_distinct_counts_stop_before_the_shuffle(spark):
+    rows = [("hot", i % 700) for i in range(7000)] + [("few", i % 3) for i in range(50)] + [("none", None), (None, 1), (None, 1)]
+    df = spark.createDataFrame(rows, "k string, v long").repartition(4)
+    got = R.saturating_distinct(df, ["k"], ["v"], 5, "n")
+    nodes = executed(got)
+    assert sorted(map(tuple, got.collect()), key=str) == [("few", 3), ("hot", 5), (None, 1)]
+    limits = [rows_of(node) for name, node in nodes if name == "WindowGroupLimit"]
+    assert len(limits) == 2 and max(limits) < 1000  # of 7,000 rows, five values a task
+
+
 RATES = [(datetime.date(2024, 1, 2), "EUR", 2.0), (datetime.date(2024, 1, 2), "USD", 1.0)]
 
 

@@ -95,10 +95,20 @@ PAIR = ["left_bank", "left_account", "right_bank", "right_account"]
 
 
 def saturating_count(df: DataFrame, keys: Sequence[str], k: int, name: str) -> DataFrame:
-    """How many rows each key has, k at most."""
+    """How many rows each key has, k at most; a row for each key and task is shuffled."""
     return df.groupBy(*keys).agg(F.least(F.count("*"), F.lit(k)).alias(name))
 
 
+def saturating_distinct(df: DataFrame, keys: Sequence[str], values: Sequence[str], k: int, name: str) -> DataFrame:
+    """How many distinct values, not null, each key has, k at most, stopping at k before the
+    shuffle: a task keeps a key's k least values only, among which the k least of all are. So a
+    key with a third of the rows sends k rows from each task."""
+    known = df.select(*keys, *values).dropna(subset=list(values))
+    rank = F.dense_rank().over(Window.partitionBy(*keys).orderBy(*values))
+    least = known.withColumn("_rank", rank).filter(F.col("_rank") <= k)
+    return least.groupBy(*keys).agg(F.max("_rank").cast("long").alias(name))
+
+
 def top_n(df: DataFrame, n: int, *order: str | Column) -> DataFrame:
     """The first n rows of the order: n of each partition, and then n of these. The order must
     be total for the rows to be always the same."""

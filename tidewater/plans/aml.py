@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import exprs as E
+from tidewater.operators import overlap
 from tidewater.operators import relational as R
 
 
@@ -20,6 +21,8 @@ class Params:
     fraction: float = 100.0
     graph_window: tuple[str, str] = ("2024-01-01", "2024-01-10")
     middles: int = 5
+    #: Chains through one middle from which on Q4 takes it for a hub.
+    hub_chains: int = overlap.HUB_CHAINS
     formats: tuple[str, ...] = field(default=("ACH", "Wire"))
     ignored: tuple[str, ...] = field(default=("Bitcoin",))
     converted: float = 1.0
@@ -80,17 +83,21 @@ def graph(usd: DataFrame, p: Params = DEFAULT, keys: tuple[str, ...] = (), inclu
     return R.edges(usd.filter(E.within(F.col("event_ts"), p.graph_window, inclusive_end)), *keys)
 
 
-def scatter_gather_pairs(usd: DataFrame, p: Params = DEFAULT, keys: tuple[str, ...] = (), reduce: bool = True, inclusive_end: bool = False) -> DataFrame:
-    """reduce: only edges of accounts with enough destinations begin a chain. Reducing the ends
-    of chains too would cost two more shuffles."""
+def scatter_gather_pairs(usd: DataFrame, p: Params = DEFAULT, keys: tuple[str, ...] = (), reduce: bool = True, inclusive_end: bool = False, counted: bool = True) -> DataFrame:
+    """Pairs with enough distinct middles, and how many; not counted, at least so many.
+
+    reduce: chains of hubs are left out where they can't decide, and looked up where they can;
+    else all chains are made.
+    """
     pairs = graph(usd, p, keys, inclusive_end)
-    first = R.reduced(pairs, "from", p.middles, *keys) if reduce else pairs
-    return R.pair_middles(R.chains(first, pairs, *keys), p.middles, *keys)
+    if reduce:
+        return overlap.overlapping(pairs, p.middles, *keys, hub_chains=p.hub_chains, counted=counted)
+    return R.pair_middles(R.chains(pairs, pairs, *keys), p.middles, *keys)
 
 
 def q4(usd: DataFrame, p: Params = DEFAULT, keys: tuple[str, ...] = (), reduce: bool = True, inclusive_end: bool = False) -> DataFrame:
     """Accounts at either end of a pair with enough distinct middles between them."""
-    pairs = scatter_gather_pairs(usd, p, keys, reduce, inclusive_end)
+    pairs = scatter_gather_pairs(usd, p, keys, reduce, inclusive_end, counted=False)
     return R.pair_endpoints(pairs, *keys).select(*keys, "bank", "account").distinct()
 
 

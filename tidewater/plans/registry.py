@@ -173,6 +173,9 @@ query("q5_fx_join", "SELECT transfer_id, round(converted_amount, 6) AS converted
 query("agg_saturating_count", "SELECT payment_format, payment_currency, least(count(*), 100) AS n FROM transfers GROUP BY 1, 2")(
     lambda s, d: R.saturating_count(transfers(s, d), ["payment_format", "payment_currency"], 100, "n")
 )
+query("agg_saturating_distinct", "SELECT from_bank, from_account, least(count(DISTINCT (to_bank, to_account)), 5) AS n FROM usd GROUP BY 1, 2")(
+    lambda s, d: R.saturating_distinct(usd(s, d), ["from_bank", "from_account"], ["to_bank", "to_account"], 5, "n")
+)
 query("distinct_banks", "SELECT bank_key, bank_name FROM names")(
     lambda s, d: R.distinct_on(fixture.banks(s, d), E.normalize_bank(F.col("bank_id")), "bank_key", "bank_name")
 )

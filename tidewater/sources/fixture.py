@@ -20,7 +20,9 @@ def _bank(number) -> F.Column:
 
 def as_transfers(events: DataFrame) -> DataFrame:
     """Works on batch and on streaming events alike."""
-    k = F.get_json_object("props", "$.k").cast("int")
+    # in a projection of its own, which Spark keeps apart, so that the JSON is read once a row
+    events = events.withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    k = F.col("k")
     currency = F.when(F.col("event_type") == "signup", "Euro").when(F.col("event_type") == "error", "Bitcoin").otherwise("US Dollar")
     formats = F.array(*map(F.lit, ["ACH", "Wire", "Cheque", "Cash", "Credit Card"]))
     return events.select(
