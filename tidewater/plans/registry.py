@@ -11,7 +11,7 @@ from tidewater.functions import exprs as E
 from tidewater.operators import relational as R
 from tidewater.plans import aml
 from tidewater.sources import csvfiles, fixture, rates, sinks
-from tidewater.streaming import runner
+from tidewater.streaming import runner, tenants
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -351,3 +351,18 @@ query("stream_dedup_messages", MANY + "SELECT client_id, transfer_id % 5 AS send
 query("stream_available_now", "SELECT payment_format, round(sum(amount_paid), 2) AS total, count(*) AS n FROM usd GROUP BY 1")(runner.format_totals)
 query("stream_q3_foreachbatch", Q3.format(c="", t="usd"))(runner.q3)
 query("stream_tumbling_extra", "SELECT date_trunc('hour', event_ts) AS hour, payment_currency, count(*) AS n FROM transfers GROUP BY 1, 2")(runner.hourly)
+query(
+    "stream_client_completion",
+    "SELECT transfer_id % 3 AS client_id, count(*) AS n, count(*) FILTER (WHERE payment_currency = 'US Dollar' AND amount_paid < 50) AS n_low, "
+    "max(amount_paid) FILTER (WHERE payment_currency = 'US Dollar') AS largest FROM transfers WHERE transfer_id % 3 <> 2 GROUP BY 1",
+)(tenants.client_completion)
+query(
+    "stream_abort",
+    ", c AS (SELECT cast(from_account AS bigint) % 16 AS client_id, * FROM transfers) SELECT client_id, count(*) AS n, count(*) FILTER (WHERE payment_currency = 'US Dollar' AND amount_paid < 50) AS n_low, "
+    "max(amount_paid) FILTER (WHERE payment_currency = 'US Dollar') AS largest FROM c WHERE client_id NOT IN (SELECT client_id FROM c WHERE cast(from_account AS bigint) % 48 IN (5, 22) AND transfer_id % 20 = 7) GROUP BY 1",
+)(tenants.abort_stream)
+query("stream_q4_scatterers", "SELECT DISTINCT from_bank, from_account FROM scatter")(tenants.scatterers)
+query(
+    "stream_join_banks",
+    f"SELECT transfer_id, bank_key, bank_name, amount_paid FROM usd JOIN names ON bank_key = {KEY.format('from_bank')}",
+)(tenants.banks_join)
