@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import arrow_map, map_batches, record_batch, shared_dir, table, written
 
 #: Words of a segment, about: it ends with the document that reaches them.
-SEGMENT_WORDS = 1 << 18
+SEGMENT_WORDS = 1 << 17
 #: Empty places between two documents of a segment.
 GAP = 1
 #: Words of a contamination window.
