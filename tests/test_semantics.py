@@ -224,3 +224,49 @@ def test_plans_push_down_and_prune(spark):
     plan = registry.QUERIES["q1_low_amount"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
     scan = plan[plan.index("== Physical Plan") :]
     assert "Exchange" not in scan and "LessThan(value,50.0)" in scan and "ts:" not in scan.split("ReadSchema")[1]
+
+
+def test_two_decimals_are_exact(spark):
+    rng = random.Random(7)
+    values = [0.125, 2.675, 1.005, 0.375, 0.0, -0.0, -0.001, -0.125, 0.995, 99.995, 2.0**53 - 0.5, 2.0**53, 2.0**64 + 2.0**20, 8e37, 5e-324]
+    values += [(2 * rng.randrange(10**7) + 1) / 200 for _ in range(100_000)] + [rng.randrange(10**7) / 8 for _ in range(20_000)]
+    values += [rng.uniform(-1, 1) * 10.0 ** rng.randint(-9, 37) for _ in range(20_000)]
+    got = spark.createDataFrame([(v,) for v in values], "x double").select("x", E.format_amount(F.col("x")).alias("s")).collect()
+    assert all(r["s"] == f"{r['x']:.2f}" for r in got) and len(got) == len(values)
+    assert spark.range(1).select(E.format_amount(F.lit(None).cast("double")).alias("s")).first()["s"] is None
+
+
+def test_routes_share_one_scan(spark, tmp_path):
+    from tidewater.operators import routes
+    from tidewater.plans import registry
+    from tidewater.sources import fixture
+
+    sf = "/root/testdata/sf0.01"
+    rows = routes.routed(registry.transfers(spark, sf), aml.routes(), "transfer_id", "amount_paid")
+    assert ran(rows).count("FileScan") == 1
+    got = aml.run_routed(registry.transfers(spark, sf), fixture.fx_rates(spark), str(tmp_path / "routes"))
+    for name, query in (("q1", "q1_low_amount"), ("q3", "q3_below_avg_fraction"), ("q5", "q5_count_converted")):
+        assert sorted(map(tuple, got[name].collect())) == sorted(map(tuple, registry.QUERIES[query](spark, sf).collect()))
+    plan = ran(got["q1"])
+    assert plan.count("FileScan") == 1 and "PartitionFilters: [isnotnull(route" in plan
+    none = routes.written(routes.routed(spark.range(5), {"a": F.col("id") > 2, "b": F.col("id") > 7, "c": F.lit(None).cast("boolean")}, "id"), str(tmp_path / "few"))
+    assert [none[k].count() for k in "abc"] == [2, 0, 0]
+
+
+def test_fingerprints_of_multisets(spark):
+    from tidewater.operators import fingerprints as P
+
+    rows = [("a", 1), ("a", 1), ("", None), (None, None), ("b", 2)]
+    frame = lambda rows: spark.createDataFrame(rows, "k string, v long")
+    one, again = frame(rows), frame(rows[::-1]).repartition(3)
+    assert P.differing(one, again).count() == 0
+    assert {r["side"]: r["n"] for r in P.diff(one, again).collect()} == {"left": 0, "right": 0}
+    for other, want in ((rows[1:], (1, 0)), ([*rows, rows[0], rows[0]], (0, 2)), ([*rows[:2], (None, None), (None, None), rows[4]], (1, 1)), ([], (5, 0))):
+        assert P.differing(one, frame(other)).count() > 0
+        got = {r["side"]: r["n"] for r in P.diff(one, frame(other), buckets=4).collect()}
+        assert (got["left"], got["right"]) == want
+    many = spark.range(20_000).select(F.col("id").cast("string").alias("k"), "id")
+    changed = many.filter("id <> 777").unionByName(many.filter("id = 5"))
+    nodes = executed(P.diff(many, changed))
+    assert {r["side"]: r["n"] for r in P.diff(many, changed).collect()} == {"left": 1, "right": 1}
+    assert max(rows_of(node) for name, node in nodes if "Join" in name) < 2_000  # of two buckets, not of all rows

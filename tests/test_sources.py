@@ -51,3 +51,26 @@ def test_rates_from_json(spark, tmp_path):
     want = [(datetime.date(2024, 1, 1), "EUR", 0.9), (datetime.date(2024, 1, 1), "GBP", 0.8)]
     read = lambda name, **k: sorted(map(tuple, rates.read_rates(spark, str(tmp_path / name), **k).collect()))
     assert read("array.json") == read("lines.json", lines=True) == want and read("one.json") == want[:1]
+
+
+def test_payloads_in_a_column(spark):
+    from pyspark.sql import functions as F
+
+    one = {"date": "2024-01-01", "base": "USD", "quote": "EUR", "rate": 0.9}
+    bare = {"date": "2024-01-02", "quote": "EUR", "rate": 0.8}
+    good = [(json.dumps(one), None), (json.dumps([{**one, "quote": "GBP", "rate": 2}, {**one, "base": "EUR", "quote": "JPY"}]), "USD"), (json.dumps([bare]), "USD"), (json.dumps(bare), None), ("[]", "USD"), ("{}", "USD")]
+    odd = [(json.dumps([{**one, "rate": "high", "quote": "A"}, {**one, "quote": "B", "rate": 3}]), None), (json.dumps({**one, "rate": {"x": 1}, "quote": "C"}), None)]
+    bad = [("", None), (None, "USD"), ("null", None), (json.dumps(one)[:-3], None), ("[1, 2]", None), ("7", None), ("no json", "USD")]
+    sent = spark.createDataFrame(good + odd + bad, "payload string, base string")
+    first, second = datetime.date(2024, 1, 1), datetime.date(2024, 1, 2)
+    got = sorted(map(tuple, rates.rates(rates.entries(sent)).collect()))
+    assert got == [(first, "B", 3.0), (first, "EUR", 0.9), (first, "GBP", 2.0), (second, "EUR", 0.8)]
+    wrong = rates.corrupt(sent.withColumn("day", F.lit(5)), "day").collect()
+    assert sorted((r["payload"] for r in wrong), key=str) == sorted((b for b, _ in bad), key=str) and wrong[0]["day"] == 5
+
+
+def test_the_lenient_reading_keeps_lines_with_bad_amounts(spark, tmp_path):
+    lines = [HEADER, "t,1,a,2,b,x,Euro,y,Euro,Wire,0", "t,1,a,2,b,1.5,Euro,2.5,Euro,Wire", "t,1,a,2,b,nan,Euro,inf,Euro,Wire,0,more", "t,1,a,2,b,1,Euro,2,Euro", "", "bad time,,,,,,,,,\r"]
+    (tmp_path / "t.csv").write_text("\n".join(lines) + "\n")
+    got = csvfiles.golden(spark.read.text(str(tmp_path / "t.csv"))).collect()
+    assert [(r["raw_ts"], r["amount_received"], r["amount_paid"], r["payment_format"]) for r in got] == [("t", 0.0, 0.0, "Wire"), ("t", 1.5, 2.5, "Wire"), ("t", 0.0, 0.0, "Wire"), ("bad time", 0.0, 0.0, "")]

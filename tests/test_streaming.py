@@ -66,3 +66,22 @@ def test_file_lines_stream(spark, tmp_path):
 def test_stream_equals_batch(spark):
     a = sorted(map(tuple, registry.QUERIES["stream_q3_foreachbatch"](spark, SF).collect()))
     assert a == sorted(map(tuple, registry.QUERIES["q3_below_avg_fraction"](spark, SF).collect()))
+
+
+def test_as_many_groups_as_ranges(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet")
+    events.unionByName(events.filter("event_id % 7 = 0")).repartition(3).write.parquet(f"{tmp_path}/in")
+    rows = as_transfers(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"))
+    got = runner.run_to_files(runner.once(runner.sharded(rows, span=50), ("shard",)), f"{tmp_path}/out")
+    assert got.count() == got.select("transfer_id").distinct().count() == events.count()
+    held = spark.read.format("statestore").load(f"{tmp_path}/out/checkpoint")
+    assert held.count() == -(-events.count() // 50)
+
+
+def test_repeats_within_a_bound_of_time(spark, tmp_path):
+    events = spark.read.parquet(f"{SF}/events.parquet").orderBy("ts")
+    events.coalesce(1).sortWithinPartitions("ts").write.option("maxRecordsPerFile", 200).parquet(f"{tmp_path}/in")
+    events.filter("event_id % 3 = 0").coalesce(1).sortWithinPartitions("ts").write.option("maxRecordsPerFile", 70).mode("append").parquet(f"{tmp_path}/in")
+    rows = as_transfers(spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")).withColumn("at", F.col("event_ts").cast("timestamp"))
+    got = runner.run_to_files(runner.once_within(rows, "at", "60 days", ("transfer_id",)), f"{tmp_path}/out")
+    assert got.count() == got.select("transfer_id").distinct().count() == events.count()

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -26,7 +28,7 @@ def parse_ts(text: Column) -> Column:
 def parse_amount(text: Column) -> Column:
     """A finite double; null for anything else."""
     value = text.try_cast("double")
-    return F.when(~F.isnan(value), value)
+    return F.when(F.abs(value) < float("inf"), value)
 
 
 def parse_laundering(text: Column) -> Column:
@@ -45,8 +47,34 @@ def date_key(ts: Column) -> Column:
 
 
 def format_amount(amount: Column) -> Column:
-    """Two decimals, as result files have them."""
-    return F.format_string("%.2f", amount)
+    """Two decimals, as result files have them: of the number's exact binary value, halves to
+    the even digit. (Java's own format rounds the shortest decimal that stands for the number, so
+    that 1.005, which is less than that, would become 1.01.)
+
+    Below 2^53 the whole part and the rest are apart exactly. A hundred times the rest is the
+    sum of a hundred times its first 26 bits and a hundred times the others, both exact; so is
+    the distance of the first from half a cent, with which the second is compared. Greater
+    numbers are whole: up to 2^126 in two parts, beyond that as Java has them.
+    """
+    amount = amount.cast("double")
+    value = F.abs(amount)
+    whole = F.floor(F.when(value < 2.0**53, value))
+    rest = value - whole
+    first = F.floor(rest * 2.0**26) / F.lit(2.0**26)
+    high, low = first * 100, (rest - first) * 100
+    cents = F.floor(high)
+    gap = F.lit(0.5) - (high - cents)
+    up = (low > gap) | ((low == gap) & (cents % 2 == 1))
+    total = whole * 100 + cents + up.cast("bigint")
+    digits = F.when(total < 100, F.lpad(total.cast("string"), 3, "0")).otherwise(total.cast("string"))
+    exact = F.concat(F.substring(digits, F.lit(1), F.length(digits) - 2), F.lit("."), F.right(digits, F.lit(2)))
+    great = F.when(value.between(2.0**53, 2.0**126), value)
+    upper = F.floor(great / 2.0**63)
+    two63 = F.lit(Decimal(2**63)).cast("decimal(19,0)")
+    parts = upper.cast("decimal(19,0)") * two63 + F.floor(great - upper * 2.0**63).cast("decimal(19,0)")
+    sign = F.when(amount.cast("string").startswith("-"), "-").otherwise("")
+    shown = F.when(value < 2.0**53, exact).when(value < 2.0**126, F.concat(parts.cast("string"), F.lit(".00"))).otherwise(F.format_string("%.2f", value))
+    return F.when(F.isnan(amount), "NaN").when(amount.isNotNull(), F.concat(sign, shown))
 
 
 def within(ts: Column, period: tuple[str, str], inclusive_end: bool = False) -> Column:

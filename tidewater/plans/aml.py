@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewater.functions import exprs as E
 from tidewater.operators import overlap
 from tidewater.operators import relational as R
+from tidewater.operators import routes as branches
 
 
 @dataclass(frozen=True)
@@ -128,6 +129,23 @@ def run_all(transfers: DataFrame, banks: DataFrame, rates: DataFrame, p: Params
     return {"usd": usd, "q1": q1(usd, p), "q2": q2(usd, banks, p), "q3": q3(usd, p), "q4": q4(usd, p), "q5": q5(transfers, rates, p)}
 
 
+def routes(p: Params = DEFAULT) -> dict[str, Column]:
+    """Which transfers Q1, Q3 (each of its periods) and Q5 take, as predicates on one scan."""
+    usd, at = F.col("payment_currency").isin(p.currency), F.col("event_ts")
+    return {
+        "q1": usd & (F.col("amount_paid") < p.low_amount),
+        "q3": usd & (E.within(at, p.period_a) | E.within(at, p.period_b)),
+        "q5": F.col("payment_format").isin(*p.formats) & E.within(at, p.period_a) & ~F.col("payment_currency").isin(*p.ignored),
+    }
+
+
+def run_routed(transfers: DataFrame, rates: DataFrame, path: str, p: Params = DEFAULT) -> dict[str, DataFrame]:
+    """Q1, Q3 and Q5 from one scan of the transfers, which writes the rows of each to path."""
+    columns = ["event_ts", *R.EDGE, "amount_paid", "payment_currency", "payment_format"]
+    tables = branches.written(branches.routed(transfers, routes(p), *columns), path)
+    return {"q1": q1(tables["q1"], p), "q3": q3(tables["q3"], p), "q5": q5(tables["q5"], rates, p)}
+
+
 def q2_window(usd: DataFrame) -> DataFrame:
     """largest_by_bank with a ranking window."""
     order = Window.partitionBy("bank_key").orderBy(F.desc("amount_paid"), F.desc("from_account"), F.desc("from_bank"))

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions import exprs as E
+from tidewater.operators import fingerprints
 from tidewater.operators import relational as R
 from tidewater.plans import aml
 from tidewater.sources import csvfiles, fixture, rates, sinks
@@ -140,6 +141,17 @@ per_row("fn_normalize_bank", lambda: E.normalize_bank(F.col("from_bank")), KEY.f
 per_row("fn_currency_iso", lambda: E.currency_iso(F.col("payment_currency")), f"CASE payment_currency {ISO} END")
 per_row("fn_date_key", lambda: E.date_key(F.col("event_ts")), "cast(event_ts AS date)")
 per_row("fn_format_amount", lambda: E.format_amount(F.col("amount_paid")), "printf('%.2f', amount_paid)")
+#: Halves of a cent, a third of them exact in binary, and numbers beyond 2^53.
+HALVES = "((transfer_id * 7919 % 20011) * 2 + 1) / 200.0", "(transfer_id % 997) / 8.0", "-(transfer_id + 0.005) * 1e15"
+query(
+    "fn_format_half_cents",
+    f"SELECT transfer_id, printf('%.2f', CASE transfer_id % 3 WHEN 0 THEN cast({HALVES[0]} AS double) WHEN 1 THEN cast({HALVES[1]} AS double) ELSE cast({HALVES[2]} AS double) END) AS result FROM transfers",
+)(
+    lambda s, d: transfers(s, d).select(
+        "transfer_id",
+        E.format_amount(F.get(F.array(((F.col("transfer_id") * 7919 % 20011) * 2 + 1) / 200.0, (F.col("transfer_id") % 997) / 8.0, -(F.col("transfer_id") + 0.005) * 1e15), F.col("transfer_id") % 3)).alias("result"),
+    )
+)
 per_row("fn_parse_ts", lambda: E.parse_ts(written_ts()), "CASE WHEN transfer_id % 7 <> 0 THEN date_trunc('minute', event_ts) END")
 per_row("fn_parse_laundering", lambda: E.parse_laundering(written_flag()), "transfer_id % 4 IN (0, 2)")
 
@@ -157,16 +169,36 @@ per_row("fn_split_list", lambda: F.array_join(E.listed(setting(), ","), "|"), "C
 
 # Rates, dimensions and aggregates
 
-query("dim_fx_rates", "SELECT fx_date, iso, cast(rate AS double) AS rate FROM fx")(lambda s, d: fixture.fx_rates(s))
+SENT_RATES = (
+    "days AS (SELECT cast(event_ts AS date) AS day, (count(*) % 40 + 80) / 100.0 AS eur FROM transfers GROUP BY 1), "
+    "sent(fx_date, iso, rate) AS (SELECT day, 'EUR', cast(eur AS double) FROM days UNION ALL SELECT day, 'USD', 1.0 FROM days)"
+)
+
+
+def sent_rates(s: SparkSession, d: str) -> DataFrame:
+    return rates.rates(rates.entries(fixture.rate_payloads(transfers(s, d))))
 
 
-@query("dim_fx_rates_json", "SELECT fx_date, iso, cast(rate AS double) AS rate FROM fx")
+query("dim_fx_rates", f", {SENT_RATES} SELECT * FROM sent")(sent_rates)
+
+
+@query("dim_fx_rates_json", f", {SENT_RATES} SELECT * FROM sent")
 def dim_fx_rates_json(s: SparkSession, d: str) -> DataFrame:
+    """The rates of the payloads, written as files of JSON lines and read back."""
     path = runner.scratch(s)
-    rates.write_rates(fixture.fx_rates(s), path)
+    rates.write_rates(sent_rates(s, d), path)
     return rates.read_rates(s, path, lines=True)
 
 
+query(
+    "fx_corrupt_payloads",
+    f""", {SENT_RATES} SELECT day, '{{"date":"' || day || '","base":"USD","quo' AS payload FROM days UNION ALL SELECT day, day || ' is no payload' FROM days""",
+)(lambda s, d: rates.corrupt(fixture.rate_payloads(transfers(s, d)), "day"))
+query(
+    "q5_payload_rates",
+    f", {SENT_RATES} SELECT count(*) AS size FROM transfers JOIN sent ON fx_date = cast(event_ts AS date) AND iso = CASE payment_currency {ISO} END "
+    f"WHERE payment_currency <> 'Bitcoin' AND payment_format IN ('ACH', 'Wire') AND {IN_A} AND amount_paid / rate < 1",
+)(lambda s, d: aml.q5(transfers(s, d), sent_rates(s, d)))
 query("q5_fx_join", "SELECT transfer_id, round(converted_amount, 6) AS converted_amount FROM conv")(
     lambda s, d: converted(s, d).select("transfer_id", F.round("converted_amount", 6).alias("converted_amount"))
 )
@@ -266,6 +298,33 @@ def csv_accounts(s: SparkSession, d: str) -> DataFrame:
     return csvfiles.read_accounts(s, path)
 
 
+@query(
+    "csv_golden_transfers",
+    "SELECT CASE WHEN transfer_id % 7 = 0 THEN '2024/13/99 00:00' ELSE strftime(event_ts, '%Y/%m/%d %H:%M') END AS raw_ts, from_bank, from_account, to_bank, to_account, "
+    "CASE WHEN transfer_id % 10 IN (3, 8) THEN 0.0 ELSE amount_paid END AS amount_received, payment_currency AS receiving_currency, "
+    "CASE WHEN transfer_id % 10 IN (3, 8) THEN 0.0 ELSE amount_paid END AS amount_paid, payment_currency, payment_format FROM transfers",
+)
+def csv_golden_transfers(s: SparkSession, d: str) -> DataFrame:
+    """Lines with bad times, bad amounts, too many and too few fields, read as leniently as can be."""
+    path = runner.scratch(s)
+    fixture.lenient_lines(transfers(s, d)).write.text(path)
+    return csvfiles.golden(s.read.text(path))
+
+
+@query(
+    "routed_q1_q3_q5",
+    f"SELECT 'q1' AS query, concat_ws(',', from_bank, from_account, to_bank, to_account, {MONEY}) AS line FROM ({Q1.format(c='', t='usd')}) "
+    f"UNION ALL SELECT 'q3', concat_ws(',', from_bank, from_account, payment_format, {MONEY}) FROM ({Q3.format(c='', t='usd')}) UNION ALL SELECT 'q5', cast(size AS varchar) FROM ({Q5})",
+)
+def routed_q1_q3_q5(s: SparkSession, d: str) -> DataFrame:
+    """Lines of three results from one scan of the transfers."""
+    got = aml.run_routed(transfers(s, d), fixture.fx_rates(s), runner.scratch(s))
+    first, *others = [sinks.lines(df, name).select(F.lit(name).alias("query"), "line") for name, df in got.items()]
+    for df in others:
+        first = first.unionByName(df)
+    return first
+
+
 # Variants and exploration
 
 query(
@@ -344,10 +403,23 @@ query(
     )
 )
 
+query(
+    "verify_fingerprint",
+    f", l AS ({DIFF[0]}), r AS ({DIFF[1]}) SELECT 'left' AS side, count(*) AS n FROM (SELECT * FROM l EXCEPT ALL SELECT * FROM r) "
+    "UNION ALL SELECT 'right', count(*) FROM (SELECT * FROM r EXCEPT ALL SELECT * FROM l) UNION ALL SELECT 'variants of Q2', 0",
+)(
+    lambda s, d: fingerprints.diff(
+        usd(s, d).filter("amount_paid < 50").select("from_bank", "from_account"), usd(s, d).filter("amount_paid >= 45 and amount_paid < 90").select("from_bank", "from_account")
+    ).unionByName(
+        fingerprints.differing(aml.largest_by_bank(usd(s, d)).select("from_bank", "from_account", "amount_paid"), aml.q2_window(usd(s, d))).agg(F.lit("variants of Q2").alias("side"), F.count("*").alias("n"))
+    )
+)
+
 # Streams
 
 query("stream_ingest", f"SELECT {COLUMNS} FROM transfers")(runner.ingest)
 query("stream_dedup_messages", MANY + "SELECT client_id, transfer_id % 5 AS sender_id, transfer_id // 5 AS seq, amount_paid FROM many")(runner.messages_once)
+query("stream_dedup_within", MANY + "SELECT client_id, transfer_id % 5 AS sender_id, transfer_id // 5 AS seq, amount_paid FROM many")(runner.messages_within)
 query("stream_available_now", "SELECT payment_format, round(sum(amount_paid), 2) AS total, count(*) AS n FROM usd GROUP BY 1")(runner.format_totals)
 query("stream_q3_foreachbatch", Q3.format(c="", t="usd"))(runner.q3)
 query("stream_tumbling_extra", "SELECT date_trunc('hour', event_ts) AS hour, payment_currency, count(*) AS n FROM transfers GROUP BY 1, 2")(runner.hourly)

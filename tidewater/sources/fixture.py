@@ -55,6 +55,26 @@ def fx_rates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(rows, FX)
 
 
+def rate_payloads(transfers: DataFrame) -> DataFrame:
+    """Payloads of rates as services send them, (day, payload, base), for each day that has
+    transfers: by turns an object for each currency, an array of them, and an array whose base
+    stands outside; and with each day one that is cut off and one that is no JSON. The rate of
+    a day follows from its number of transfers."""
+    days = transfers.groupBy(F.to_date("event_ts").alias("day")).agg(((F.count("*") % 40 + 80) / 100).alias("eur"))
+    date, usd = F.date_format("day", "yyyy-MM-dd").alias("date"), F.lit("USD").alias("base")
+
+    def entry(quote: str, rate: F.Column, *base: F.Column) -> F.Column:
+        return F.struct(date, *base, F.lit(quote).alias("quote"), rate.alias("rate"))
+
+    euro, dollar = entry("EUR", F.col("eur"), usd), entry("USD", F.lit(1.0), usd)
+    outside = F.array(entry("EUR", F.col("eur")), entry("USD", F.lit(1.0)))
+    cut = F.concat(F.lit('{"date":"'), F.date_format("day", "yyyy-MM-dd"), F.lit('","base":"USD","quo'))
+    none = F.concat(F.date_format("day", "yyyy-MM-dd"), F.lit(" is no payload"))
+    form = F.day("day") % 3
+    sent = F.when(form == 0, F.array(F.to_json(euro), F.to_json(dollar))).when(form == 1, F.array(F.to_json(F.array(euro, dollar)))).otherwise(F.array(F.to_json(outside)))
+    return days.select("day", F.explode(F.concat(sent, F.array(cut, none))).alias("payload"), F.when(form == 2, "USD").alias("base"))
+
+
 def transfer_lines(transfers: DataFrame) -> DataFrame:
     """Transfers as lines of a file (value); after one in seven comes one whose time is none."""
     good = F.date_format("event_ts", "yyyy/MM/dd HH:mm")
@@ -64,6 +84,17 @@ def transfer_lines(transfers: DataFrame) -> DataFrame:
     return transfers.withColumn("time", F.explode(times)).select(F.concat_ws(",", "time", *rest).alias("value"))
 
 
+def lenient_lines(transfers: DataFrame) -> DataFrame:
+    """Transfers as lines (value), among them bad times, bad amounts (one in five), more fields
+    than there should be (one in eleven), and, after one in thirteen, a line that is too short."""
+    number = F.col("transfer_id")
+    time = F.when(number % 7 == 0, "2024/13/99 00:00").otherwise(F.date_format("event_ts", "yyyy/MM/dd HH:mm"))
+    amount = F.when(number % 10 == 3, "12.5x").when(number % 10 == 8, "").otherwise(F.col("amount_paid").cast("string"))
+    rest = ["from_bank", "from_account", "to_bank", "to_account", amount, "payment_currency", amount, "payment_currency", "payment_format", F.when(number % 11 == 0, "0,more,fields").otherwise("0")]
+    whole = F.concat_ws(",", time, *rest)
+    return transfers.select(F.explode(F.when(number % 13 == 0, F.array(whole, F.lit("2024/01/01 00:00,short,line"))).otherwise(F.array(whole))).alias("value"))
+
+
 def account_lines(accounts: DataFrame) -> DataFrame:
     """Accounts as lines of a file (value), whose last column has a comma of its own."""
     return accounts.select(F.concat_ws(",", "bank_name", "bank_id", "account_number", "entity_id", F.concat("entity_name", F.lit(", and others"))).alias("value"))

@@ -1,5 +1,5 @@
-"""Exchange rates from JSON: objects of date, base, quote and rate, one or an array of them in a
-file, or one in each line."""
+"""Exchange rates from JSON: objects of date, base, quote and rate, one or an array of them, in
+a file, in each line or in each row of a column."""
 
 from __future__ import annotations
 
@@ -7,6 +7,26 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 PAYLOAD = "date string, base string, quote string, rate double"
+ENTRIES = f"array<struct<{PAYLOAD}>>"
+
+
+def parsed(payloads: DataFrame, *keep: str) -> DataFrame:
+    """(entries, and the columns to keep) of a column of payloads, each an object or an array of
+    them; entries is null where a payload is neither."""
+    return payloads.select(*keep, "payload", F.from_json("payload", ENTRIES).alias("entries"))
+
+
+def entries(payloads: DataFrame) -> DataFrame:
+    """The entries of payloads(payload, base). An entry without a base has the one beside its
+    payload, as answers to a request for one base have. Corrupt payloads give none, and fields
+    of another type are null."""
+    rows = parsed(payloads, F.col("base").alias("asked")).filter("entries is not null").select("asked", F.inline("entries"))
+    return rows.select("date", F.coalesce("base", "asked").alias("base"), "quote", "rate")
+
+
+def corrupt(payloads: DataFrame, *keep: str) -> DataFrame:
+    """Payloads, with the columns to keep, that are no objects or arrays of them, null among them."""
+    return parsed(payloads, *keep).filter("entries is null").select(*keep, "payload")
 
 
 def rates(payloads: DataFrame, base: str = "USD") -> DataFrame:

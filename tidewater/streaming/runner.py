@@ -126,13 +126,21 @@ def without_aborted(rows: DataFrame, aborted: DataFrame) -> DataFrame:
     return rows.join(aborted, "client_id", "left_anti")
 
 
-#: Shards that a stream's ids are dealt to.
-SHARDS = 16
+#: Numbers of one group of a stream's ids.
+SPAN = 4_096
 
 
-def sharded(rows: DataFrame, column: str = "transfer_id") -> DataFrame:
-    """Rows with the shard of their id and its number there, without gaps where ids have none."""
-    return rows.withColumn("shard", F.pmod(column, F.lit(SHARDS))).withColumn("seq", F.floor(F.col(column) / SHARDS))
+def sharded(rows: DataFrame, column: str = "transfer_id", span: int = SPAN) -> DataFrame:
+    """Rows with the range of numbers that their id lies in, and its place there: as many groups
+    as there are ranges, whose state is one pair of numbers once all of a range are there."""
+    return rows.withColumn("shard", F.floor(F.col(column) / span)).withColumn("seq", F.pmod(column, F.lit(span)))
+
+
+def once_within(messages: DataFrame, at: str, late: str, keys: tuple[str, ...] = MESSAGE) -> DataFrame:
+    """Each message of a stream once, where it comes again within a bound of time: the keys
+    leave the state with the watermark, and nothing leaves the JVM. Messages later than that
+    fall out."""
+    return messages.withWatermark(at, late).dropDuplicatesWithinWatermark(list(keys))
 
 
 def ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,6 +159,17 @@ def messages_once(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_to_files(once(sent().unionByName(sent().filter("seq % 3 = 0"))), scratch(spark))
 
 
+def messages_within(spark: SparkSession, sf_dir: str, late: str = "1 hour") -> DataFrame:
+    """messages_once() where what comes twice does so within an hour."""
+    def sent():
+        rows = as_transfers(event_stream(spark, sf_dir))
+        client, number = F.col("from_account").cast("bigint") % 3, F.floor(F.col("transfer_id") / 5)
+        at = F.col("event_ts").cast("timestamp").alias("at")
+        return rows.select(client.alias("client_id"), (F.col("transfer_id") % 5).alias("sender_id"), number.alias("seq"), "amount_paid", at)
+
+    return run_to_files(once_within(sent().unionByName(sent().filter("seq % 3 = 0")), "at", late), scratch(spark)).drop("at")
+
+
 def format_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sum and count by payment format, as the stream's aggregate at its end."""
     usd = aml.in_currency(as_transfers(event_stream(spark, sf_dir)))
