@@ -1,4 +1,7 @@
+import fractions
+
 import numpy as np
+import pytest
 
 from tidewater.llm import neighbours as N
 
@@ -172,3 +175,27 @@ def test_cells_of_any_size_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(N, "ROW_NUMBERS", 16 * 200)
     monkeypatch.setattr(N, "QUERY_NUMBERS", 16 * 30)
     assert results(N.search(index, vectors.filter("vec_id % 20 = 0"))) == first
+
+
+@pytest.mark.parametrize("length", [1e200, 1e-170, 1.7e308, 5e-324])
+def test_longest_and_shortest_doubles(spark, length):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(60, 6))
+    x = x / np.abs(x).max(axis=1, keepdims=True) * length if length > 1e-300 else np.where(x > 0, length, 0.0)
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(100 + i, rng.normal(size=6).tolist()) for i in range(30)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = N.search(N.build(df), df.filter("vec_id % 20 = 0"), 20).collect()
+    asked = {i for i, v in rows if i % 20 == 0 and any(v)}
+    assert {r["query_id"] for r in got} == asked and not any(np.isnan(r["score"]) for r in got)
+    exact = lambda a, b: sum(fractions.Fraction(p) * fractions.Fraction(q) for p, q in zip(a, b, strict=True))
+    vectors = dict(rows)
+    usable = [i for i, v in rows if any(v)]
+    for q in asked:
+        mine = sorted((r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] == q)
+        assert [r[0] for r in mine] == list(range(1, 21))
+        for _, i, score in mine:
+            want = exact(vectors[q], vectors[i])
+            shown = float(want) if abs(want) < 1e308 else np.inf if want > 0 else -np.inf
+            assert score == pytest.approx(shown, rel=1e-9, abs=1e-300) or abs(want) > 1e308
+        best = sorted((exact(vectors[q], vectors[i]) for i in usable if i != q), reverse=True)[0]
+        assert mine[0][2] == pytest.approx(float(best), rel=1e-9, abs=1e-300) if abs(best) < 1e308 else mine[0][2] > 1e300

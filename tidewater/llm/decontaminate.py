@@ -1,6 +1,6 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index is a table of segments. A segment holds the postings of about 260,000 words of
+The index is a table of segments. A segment holds the postings of about 130,000 words of
 whole documents: the sorted 64-bit hashes of its terms and, term after term, the ascending
 positions of each. Documents follow one another in a segment with a gap between them, so
 that no phrase spans two. Every word of every document is indexed.

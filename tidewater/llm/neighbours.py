@@ -21,7 +21,7 @@ meet few candidates, as those that point away from nearly all rows, meet every r
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -143,6 +143,16 @@ def _evened(x: np.ndarray, longest: float) -> np.ndarray:
     return np.concatenate([x, np.sqrt(np.maximum(0.0, 1.0 - (x * x).sum(axis=1, keepdims=True)))], axis=1)
 
 
+def _products(rows: np.ndarray, query: np.ndarray, product: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """Inner products of rows with a query. Where those of components may be beyond all doubles,
+    both are scaled by powers of two, so that only a sum that is itself beyond is infinite."""
+    by = [int(np.frexp(np.abs(x).max(initial=0.0))[1]) for x in (rows, query)]
+    if sum(by) < 1000:
+        return product(rows, query)
+    with np.errstate(over="ignore"):
+        return np.ldexp(product(np.ldexp(rows, -by[0]), np.ldexp(query, -by[1])), sum(by))
+
+
 def _by(values: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
     """The places of each value, with the value."""
     for value in np.unique(values):
@@ -170,7 +180,8 @@ class Band:
     least: float = -np.inf
 
     def unit(self, queries: np.ndarray) -> np.ndarray:
-        x = queries / np.linalg.norm(queries, axis=1, keepdims=True)
+        x = queries / np.abs(queries).max(axis=1, keepdims=True)  # squares of the longest and shortest doubles are none
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
         return x if self.longest is None else np.pad(x, ((0, 0), (0, 1)))
 
     def rotations(self) -> Rotations:
@@ -187,14 +198,18 @@ class Index:
 def build(vectors: DataFrame) -> Index | None:
     """Indexes every usable vector; None if there are none. Vectors of each number of
     components have bands of their own."""
-    square = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + x.cast("double") * x.cast("double"))
+    # lengths by way of the greatest component, as squares of doubles can be infinite or zero
+    top = F.array_max(F.transform("embedding", lambda x: F.abs(x.cast("double"))))
+    square = F.aggregate("embedding", F.lit(0.0), lambda acc, x: acc + (x / F.col("top")) * (x / F.col("top")))
+    length = F.least(F.sqrt("square") * F.col("top"), F.lit(np.finfo(np.float64).max.item()))
     # a band's edges are odd powers of the root of two, so that unit vectors lie in its middle
-    rows = usable(vectors).withColumn("square", square).withColumn("band", F.floor(F.log2("square") / 2 + 0.5).cast("int"))
+    band = F.floor(F.log2("square") / 2 + F.log2("top") + 0.5).cast("int")
+    rows = usable(vectors).withColumn("top", top).withColumn("square", square).withColumn("band", band).withColumn("length", length)
     groups = rows.groupBy(F.size("embedding").alias("width"), "band")
-    got = groups.agg(F.count("*").alias("n"), F.max("square").alias("long"), F.min("square").alias("short")).collect()
+    got = groups.agg(F.count("*").alias("n"), F.max("length").alias("long"), F.min("length").alias("short")).collect()
     if not got:
         return None
-    bands = [Band(r["width"], r["band"], r["n"], r["long"] ** 0.5 if r["short"] < r["long"] * 0.999 else None) for r in got]
+    bands = [Band(r["width"], r["band"], r["n"], r["long"] if r["short"] < r["long"] * 0.9995 else None) for r in got]
     by = {(b.width, b.band): b for b in bands}
     schema = f"vec_id long, embedding {rows.schema['embedding'].dataType.simpleString()}, width int, band int, codes binary"
 
@@ -233,7 +248,8 @@ def nearest(rows: DataFrame, sample: dict[int, tuple[np.ndarray, np.ndarray]], k
                     continue
                 part = batch.take(pa.array(at))
                 ids, asked = held.value[width]
-                scores = asked @ _matrix(part["embedding"]).T
+                with np.errstate(over="ignore", invalid="ignore"):
+                    scores = np.nan_to_num(asked @ _matrix(part["embedding"]).T, nan=-np.inf, posinf=np.inf, neginf=-np.inf)
                 scores[ids[:, None] == part["vec_id"].to_numpy()[None, :]] = -np.inf
                 n = min(k, scores.shape[1])
                 top = np.argpartition(-scores, n - 1, axis=1)[:, :n].ravel()
@@ -326,11 +342,11 @@ class Cell:
                     continue
                 met = len(at)
                 if met > 2 * k:
-                    rough = self.rows[at] @ queries[q]
+                    rough = _products(self.rows[at], queries[q], lambda x, y: x @ y)
                     last = np.partition(rough, met - k)[met - k]
-                    at = at[rough >= last - 1e-9 * np.abs(rough).max()]
+                    at = at[(rough >= last - 1e-9 * np.abs(rough).max()) | ~np.isfinite(rough)]
                 # summed row by row in one order, so that equal rows have equal scores wherever they lie
-                scores = (self.rows[at] * queries[q]).sum(axis=1)
+                scores = _products(self.rows[at], queries[q], lambda x, y: (x * y).sum(axis=1))
                 _, found, scores = _best(np.zeros(len(at), np.int64), self.ids[at], scores, k)
                 yield np.full(len(found), ids[q]), found, scores, np.where(np.arange(len(found)) == 0, met, 0)
 
