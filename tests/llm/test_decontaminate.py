@@ -58,7 +58,7 @@ def test_segments_and_proximity(spark, monkeypatch):
     monkeypatch.setattr(D, "SEGMENT_WORDS", 20)
     docs = spark.createDataFrame([(i, f"x{i} alpha " + "pad " * (i % 7) + "beta") for i in range(30)], "doc_id long, text string").coalesce(1)
     index = D.build(docs)
-    assert index.count() > 5
+    assert index.rows.count() > 5
     asked = D.phrases(spark.createDataFrame([("q", [b"alpha", b"beta"])], "item string, words array<binary>"))
     near = D.search(index, asked, distance=4).collect()
     assert {r["doc_id"] for r in near if r["items"]} == {i for i in range(30) if i % 7 <= 3}
@@ -79,16 +79,43 @@ def test_postings_stay_where_they_are(spark):
     """The index is joined by its buckets: only phrases are shuffled."""
     index = D.build(spark.createDataFrame([(0, "a b c")], "doc_id long, text string"))
     asked = D.phrases(spark.createDataFrame([("q", [b"a", b"b"])], "item string, words array<binary>"))
+    (r,) = index.rows.select("task", "segment").collect()
+    lists = spark.createDataFrame([(*r, [tuple(p) for p in asked.collect()])], "task int, segment long, phrases array<struct<item:string,terms:array<long>>>")
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key)
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        found = D.search(index, asked)
-        assert found.first()["begins"] == [0]
-        plan = found._jdf.queryExecution().executedPlan().toString()
+        with D.task_alone(spark):
+            found = D.searched(index, lists, None)
+            assert found.first()["begins"] == [0]
+            plan = found._jdf.queryExecution().executedPlan().toString()
+        assert spark.conf.get(key) == before
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     side = plan[plan.index("positions") :]
     assert "SortMergeJoin" in plan and "Bucketed: true" in plan
-    assert plan.count("Exchange hashpartitioning(segment") <= 3 and "Exchange" not in side[: side.index("FileScan")]
+    assert "Exchange hashpartitioning(task" in plan and "Exchange" not in side[: side.index("FileScan")]
+
+
+def test_a_file_for_each_task_and_no_table_left(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(D, "SEGMENT_WORDS", 20)
+    before = {t.name for t in spark.catalog.listTables()}
+    docs = spark.createDataFrame([(i, f"x{i} a b c d e f g") for i in range(300)], "doc_id long, text string").repartition(3)
+    index = D.build(docs, f"{tmp_path}/index")
+    assert index.rows.select("segment").distinct().count() > 60
+    assert len(list((tmp_path / "index").glob("part-*"))) == 3
+    asked = D.phrases(spark.createDataFrame([("q", [b"x7", b"a"])], "item string, words array<binary>"))
+    assert [r["doc_id"] for r in D.search(index, asked).collect() if r["items"]] == [7]
+    assert {t.name for t in spark.catalog.listTables()} == before
+
+
+def test_more_tasks_than_shuffle_partitions(spark):
+    docs = spark.createDataFrame([(i, f"x{i} a b") for i in range(40)], "doc_id long, text string").repartition(9)
+    index = D.build(docs)
+    assert index.buckets == 9
+    asked = D.phrases(spark.createDataFrame([("q", [b"x7", b"a"]), ("r", [b"a", b"b"])], "item string, words array<binary>"))
+    got = {r["doc_id"]: r["items"] for r in D.search(index, asked).collect()}
+    assert got == {i: ["q", "r"] if i == 7 else ["r"] for i in range(40)}
 
 
 def test_a_text_longer_than_a_segment(spark):

@@ -10,18 +10,21 @@ term, which takes a look at the segments' lists of terms alone; a phrase with a
 segment has falls out. In a segment the lists of positions, each less its term's offset in the
 phrase, are intersected from the rarest term on. Proximity searches take the same lists and
 look for each term within a distance of the rarest one, in the same document. The index is
-bucketed by segment, so that phrases move and postings don't.
+bucketed by the task that wrote it, a file for each, and phrases are dealt by the same number,
+so that phrases move and postings don't.
 
 Terms are compared by xxh64: among 10^7 terms two share a hash with a chance of about 3e-6.
 """
 
 from __future__ import annotations
 
+import contextlib
 import hashlib
 import re
 import uuid
 from collections import defaultdict
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -46,8 +49,9 @@ BLOCK_PHRASES = 20_000
 
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
-#: A segment: its documents' ids, first places and numbers of words, then terms and postings.
-INDEX = "segment long, docs binary, starts binary, lengths binary, terms binary, edges binary, positions binary"
+#: A segment: the task that wrote it, its documents' ids, first places and numbers of words,
+#: then terms and postings.
+INDEX = "task int, segment long, docs binary, starts binary, lengths binary, terms binary, edges binary, positions binary"
 
 
 def words(text: str | None) -> list[bytes]:
@@ -59,12 +63,26 @@ def hashes(terms: Iterable[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, terms), np.uint64)
 
 
-def build(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """The index of all words of all documents, a table in the shared folder in as many buckets
-    as the session has shuffle partitions.
+@dataclass(frozen=True)
+class Index:
+    """An index table, and the number of its buckets by task."""
+
+    rows: DataFrame
+    buckets: int
+
+
+#: Buckets that Spark lets a table have.
+MOST_BUCKETS = 100_000
+
+
+def build(docs: DataFrame, path: str | None = None) -> Index:
+    """The index of all words of all documents, a table in the shared folder. Each task that
+    reads documents writes one file, as all its segments share a bucket; buckets are as many as
+    these tasks, or as the session has shuffle partitions if that is more.
 
     Null and empty texts have no words and stand in the index with length 0. A document of
-    any length lies in one segment.
+    any length lies in one segment. The documents should be a table: what they come from is
+    planned once more to count its tasks.
     """
     spark = docs.sparkSession
 
@@ -87,11 +105,11 @@ def build(docs: DataFrame, path: str | None = None) -> DataFrame:
             place = np.concatenate([np.arange(a, a + n, dtype=np.uint32) for a, n in zip(starts, lengths, strict=True)])
             edges = np.concatenate([[0], np.cumsum(np.bincount(term, minlength=len(order)))]).astype("<u4")
             context = TaskContext.get()
-            segment = ((context.partitionId() if context else 0) << 32) + made
+            task = context.partitionId() if context else 0
             missing = [d is None for d in ids]
             numbers = np.array([-(1 << 63) if m else d for d, m in zip(ids, missing, strict=True)], "<i8")
             return record_batch({
-                "segment": [segment], "docs": [numbers.tobytes()], "starts": [np.array(starts, "<u4").tobytes()], "lengths": [np.array(lengths, "<u4").tobytes()],
+                "task": [task], "segment": [(task << 32) + made], "docs": [numbers.tobytes()], "starts": [np.array(starts, "<u4").tobytes()], "lengths": [np.array(lengths, "<u4").tobytes()],
                 "terms": [terms[order].astype("<u8").tobytes()], "edges": [edges.tobytes()], "positions": [place[np.argsort(term, kind="stable")].astype("<u4").tobytes()],
             }, INDEX)
 
@@ -111,10 +129,16 @@ def build(docs: DataFrame, path: str | None = None) -> DataFrame:
         if ids:
             yield flush()
 
-    name, buckets = f"tidewater_{uuid.uuid4().hex}", int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = map_batches(docs.select("doc_id", "text"), run, INDEX)
-    rows.write.bucketBy(buckets, "segment").option("path", path or shared_dir(spark)).saveAsTable(name)
-    return spark.table(name)
+    texts = docs.select("doc_id", "text")
+    rows = map_batches(texts, run, INDEX)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), texts.rdd.getNumPartitions())
+    name, buckets = f"tidewater_{uuid.uuid4().hex}", min(tasks, MOST_BUCKETS)
+    rows.write.bucketBy(buckets, "task").option("path", path or shared_dir(spark)).saveAsTable(name)
+    index = spark.table(name)
+    # the files are the folder's, and the plan has the buckets by now: the catalog needs no entry
+    index.schema  # noqa: B018
+    spark.sql(f"DROP TABLE {name}")
+    return Index(index, buckets)
 
 
 class Segment:
@@ -193,18 +217,19 @@ def listed(terms: DataFrame) -> np.ndarray | None:
     return np.unique(terms.toArrow().column(0).to_numpy().view(np.uint64))
 
 
-def vocabulary(index: DataFrame, terms: DataFrame, by_segment: bool) -> DataFrame:
-    """(segment, term, n) of how often the segments have the terms, or, without by_segment,
-    sums of a task's segments, whose segment is null."""
-    schema = "segment long, term long, n long"
-    held = index.sparkSession.sparkContext.broadcast(listed(terms))
+def vocabulary(index: Index, terms: DataFrame, by_segment: bool) -> DataFrame:
+    """(task, segment, term, n) of how often the segments have the terms, or, without by_segment,
+    sums of a task's segments, whose task and segment are null."""
+    schema = "task int, segment long, term long, n long"
+    held = index.rows.sparkSession.sparkContext.broadcast(listed(terms))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         some = held.value
         total = np.zeros(0 if some is None else len(some), np.int64)
 
         def emit(segment: int | None, terms: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return record_batch({"segment": [segment] * len(n), "term": terms.view(np.int64), "n": n}, schema)
+            task = None if segment is None else segment >> 32
+            return record_batch({"task": [task] * len(n), "segment": [segment] * len(n), "term": terms.view(np.int64), "n": n}, schema)
 
         for batch in batches:
             for row in batch.to_pylist():
@@ -221,10 +246,10 @@ def vocabulary(index: DataFrame, terms: DataFrame, by_segment: bool) -> DataFram
         if total.any():
             yield emit(None, some[total > 0], total[total > 0])
 
-    return map_batches(index.select("segment", "terms", "edges"), run, schema).join(terms, "term", "left_semi")
+    return map_batches(index.rows.select("segment", "terms", "edges"), run, schema).join(terms, "term", "left_semi")
 
 
-def rarest(index: DataFrame, asked: DataFrame) -> DataFrame:
+def rarest(index: Index, asked: DataFrame) -> DataFrame:
     """(item, terms, term) of the phrases whose terms all occur, with the rarest of them."""
     each = asked.select("item", "terms", F.explode(F.array_distinct("terms")).alias("term"))
     often = vocabulary(index, written(each.select("term").distinct()), False).groupBy("term").agg(F.sum("n").alias("n"))
@@ -235,7 +260,7 @@ def rarest(index: DataFrame, asked: DataFrame) -> DataFrame:
 HITS = "segment long, ordinal int, doc_id long, n_words long, begins array<long>, ends array<long>, items array<string>"
 
 
-def search(index: DataFrame, asked: DataFrame, distance: int | None = None) -> DataFrame:
+def search(index: Index, asked: DataFrame, distance: int | None = None) -> DataFrame:
     """For each document and block of phrases (item, terms), the document's hit words as
     disjoint ranges from begins up to ends, and the items of the phrases that occur.
 
@@ -244,12 +269,30 @@ def search(index: DataFrame, asked: DataFrame, distance: int | None = None) -> D
     """
     asked = written(asked.filter(F.size("terms") > 0).distinct())
     least = written(rarest(index, asked))
-    places = written(vocabulary(index, written(least.select("term").distinct()), True).select("segment", "term"))
-    sent = written(least.join(places, "term").select("segment", "item", "terms"))
+    places = written(vocabulary(index, written(least.select("term").distinct()), True).select("task", "segment", "term"))
+    sent = written(least.join(places, "term").select("task", "segment", "item", "terms"))
     n = written(sent.groupBy("segment").agg(F.count("*").alias("n")))
     block = F.pmod(F.xxhash64("item", "terms"), F.ceil(F.col("n") / BLOCK_PHRASES))
-    lists = sent.join(n, "segment").groupBy("segment", block.alias("block")).agg(F.collect_list(F.struct("item", "terms")).alias("phrases"))
-    both = index.join(lists.select("segment", "phrases"), "segment", "left")
+    lists = sent.join(n, "segment").groupBy("task", "segment", block.alias("block")).agg(F.collect_list(F.struct("item", "terms")).alias("phrases"))
+    with task_alone(index.rows.sparkSession):
+        return written(searched(index, lists.select("task", "segment", "phrases"), distance))
+
+
+@contextlib.contextmanager
+def task_alone(spark: SparkSession) -> Iterator[None]:
+    """Lets a join on task and segment take rows as they lie by task, for what is run inside."""
+    key = "spark.sql.requireAllClusterKeysForCoPartition"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "false")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def searched(index: Index, lists: DataFrame, distance: int | None) -> DataFrame:
+    """The hits of lists (task, segment, phrases), which are dealt as the index is."""
+    both = index.rows.join(lists.repartition(index.buckets, "task"), ["task", "segment"], "left")
 
     def make():
         def fn(batch: pa.RecordBatch) -> dict:
