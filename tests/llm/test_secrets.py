@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -111,6 +112,44 @@ def test_rates_on_held_out_strings(spark):
         assert above(strings.select(F.substring("token", 1, size).alias("token"))) >= least
 
 
+def ordinary_tokens(n=300):
+    """Tokens by class that hold numbers and hexadecimal groups and are no secrets."""
+    rng = random.Random(7)
+    name = lambda: rng.choice("main vendor bundle chunk app index style logo runtime widget theme report".split())
+    digits = lambda k: "".join(rng.choices("0123456789abcdef", k=k))
+    some = lambda: rng.randrange(30)
+    one = {
+        "uuid": lambda: str(uuid.UUID(int=rng.getrandbits(128))), "uuid in capitals": lambda: str(uuid.UUID(int=rng.getrandbits(128))).upper(),
+        "asset": lambda: f"static/js/{name()}-{digits(rng.randrange(8, 13))}", "commit": lambda: f"releases/{name()}_{name()}_{digits(7)}",
+        "version": lambda: f"{name()}-{some()}-{some()}-{some()}-rc{some()}-linux-x86_64", "isbn": lambda: f"978-{some()}-{some()}-{rng.randrange(10**6):06}-{some()}/{name()}",
+    }
+    return [(kind, make()) for kind, make in one.items() for _ in range(n)]
+
+
+def test_rates_by_class_of_the_whole_scan(spark):
+    model = S.train(S.labelled(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")))
+    random_ = [("random", r["token"][:k]) for k in (20, 32) for r in S.random_strings(spark, 3 * 10**6, 300).collect()]
+    rows = spark.createDataFrame([(kind, f"see {token} there") for kind, token in ordinary_tokens() + random_], "kind string, text string")
+    found = S.scan(rows, model).groupBy("kind").agg(F.avg((F.size("spans") > 0).cast("int")).alias("share"))
+    rates = {r["kind"]: r["share"] for r in found.collect()}
+    assert rates.pop("random") >= 0.98
+    assert max(rates.values()) <= 0.01, rates
+
+
+def test_tokens_named_by_hexadecimal_groups(spark):
+    texts = ["c9bf9e57-1685-4c89-bafb-ff5af830be8a", "static/js/bundle-8f3b2c1d4e", f"c9bf9e57-{SECRET}"]
+    got = S.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), S.train(S.labelled(corpus(spark)))).collect()
+    assert {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in got} == {0: [], 1: [], 2: [(0, 3, len(texts[2]))]}
+
+
+def test_base_spans_train_nothing(spark, tmp_path, monkeypatch):
+    corpus(spark).write.parquet(f"{tmp_path}/documents.parquet")
+    want = S.op7_secret_scan(spark, str(tmp_path)).drop("spans")
+    monkeypatch.setattr(S, "train", None)
+    got = S.op7_base_spans(spark, str(tmp_path))
+    assert got.columns == want.columns and sorted(got.collect()) == sorted(want.collect())
+
+
 def test_planted_random_strings_are_found(spark):
     tokens = [r["token"][:32] for r in S.random_strings(spark, 2 * 10**6, 200).collect()]
     rows = [(i, f"some words and {t} then, more words") for i, t in enumerate(tokens)]

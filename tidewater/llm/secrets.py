@@ -35,6 +35,9 @@ ASSIGN_CHARS = 12
 #: names of programs stay below it, held-out random strings are above it (see the tests).
 TOKEN_CHARS, LEAST_RATIO = 20, 40.0
 TOKEN = rf"[A-Za-z0-9+/_-]{{{TOKEN_CHARS},}}"
+#: Hexadecimal groups that stand by themselves in a token, shorter than HEX takes: those of UUIDs,
+#: builds and commits.
+GROUP = r"(?<![A-Za-z0-9])(?:[0-9a-f]{4,15}|[0-9A-F]{4,15})(?![A-Za-z0-9])"
 #: Random strings, and about as many documents, that the models are trained on.
 TRAIN_STRINGS, TRAIN_DOCS = 5_000, 300
 #: Words that names in programs are made of (fixed values); they are there whatever the corpus.
@@ -219,18 +222,25 @@ def ratio(token: Column, model: list[float]) -> Column:
     return F.aggregate(pairs, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def judged(token: Column, model: list[float]) -> Column:
+    """The ratio of a token in which short hexadecimal groups are one digit each: they are ids
+    of things, such as UUIDs and names of built files, and transitions alone can't tell
+    them from the pieces of a random string."""
+    return ratio(F.regexp_replace(token, GROUP, "0"), model)
+
+
 def scan(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
     """Adds base and spans, arrays of (start, kind, end) by start and then kind, to the rows,
     in place of columns of these names.
 
     The models' spans are tokens of 20 characters or more, or what base spans leave of them in
-    pieces of as many, with a ratio of at least LEAST_RATIO. A null text is empty and has no
+    pieces of as many, with a ratio of at least LEAST_RATIO (see judged). A null text is empty and has no
     spans.
     """
     model = model or train(labelled(docs))
     text = F.coalesce("text", F.lit(""))
     rows = docs.withColumn("_text", text).withColumn("base", base_spans(F.col("_text")))
-    more = let(blanked(F.col("_text")), lambda t: places(F.filter(spans(t, TOKEN, 3), lambda s: ratio(s["value"], model) >= LEAST_RATIO)))
+    more = let(blanked(F.col("_text")), lambda t: places(F.filter(spans(t, TOKEN, 3), lambda s: judged(s["value"], model) >= LEAST_RATIO)))
     return rows.withColumn("spans", F.array_sort(F.concat("base", more))).drop("_text")
 
 
@@ -258,16 +268,19 @@ def redacted(text: Column, spans_: Column, mark: str = "[SECRET]") -> Column:
 def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per document; repeated rows each have one, an empty table has none."""
     rows = scan(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return rows.select("doc_id", *base_columns(), listed(F.col("spans")).alias("spans"))
+
+
+def base_columns() -> list[Column]:
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
-    return rows.select(
-        "doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"),
-        F.sha2(listed(F.col("base")), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"),
-    )
+    return [count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(listed(F.col("base")), 256).alias("base_sha256")]
 
 
 def op7_base_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What SQL can say of the scan: all columns but spans, to which the models add."""
-    return op7_secret_scan(spark, sf_dir).drop("spans")
+    """What SQL can say of the scan: all columns but spans, to which the models add. No model
+    is trained for it."""
+    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    return docs.withColumn("base", base_spans(F.coalesce("text", F.lit("")))).select("doc_id", *base_columns())
 
 
 OP7_BASE_SQL = r"""
