@@ -39,6 +39,8 @@ from tidewater.llm.common import arrow_map, map_batches, record_batch, shared_di
 SEGMENT_WORDS = 1 << 17
 #: Empty places between two documents of a segment.
 GAP = 1
+#: Bytes of a row group of the index, which a writing and a reading task hold.
+GROUP_BYTES = 8 << 20
 #: Words of a contamination window.
 WINDOW = 10
 #: Terms up to which tasks get a list of those that matter (8 bytes each); with more of them
@@ -133,7 +135,9 @@ def build(docs: DataFrame, path: str | None = None) -> Index:
     rows = map_batches(texts, run, INDEX)
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), texts.rdd.getNumPartitions())
     name, buckets = f"tidewater_{uuid.uuid4().hex}", min(tasks, MOST_BUCKETS)
-    rows.write.bucketBy(buckets, "task").option("path", path or shared_dir(spark)).saveAsTable(name)
+    # a row is a megabyte and more: the writer looks at its buffer after each, not after 100
+    groups = {"parquet.block.size": GROUP_BYTES, "parquet.page.size.row.check.min": 1, "path": path or shared_dir(spark)}
+    rows.write.bucketBy(buckets, "task").options(**groups).saveAsTable(name)
     index = spark.table(name)
     # the files are the folder's, and the plan has the buckets by now: the catalog needs no entry
     index.schema  # noqa: B018
